@@ -4,8 +4,9 @@
 2. A window's key is the least hash of the 32-byte strings in it, so equal windows have equal keys.
    Consecutive windows with one key form a run.  Keys with a single place in the whole corpus
    belong to unique strings, and drop out.
-3. The runs that stay are sent, once per block and string, to the shard of their key.  A shard
-   concatenates its distinct strings, builds their suffix array by induced sorting (classify
+3. The runs that stay are sent, once per block and string, to the shard of their key.  A string
+   that is alone under its key and doesn't repeat in itself shares windows with its own copies only.
+   All others a shard concatenates; it builds their suffix array by induced sorting (classify
    suffixes, sort the leftmost-smaller substrings, name them and sort the names by doubling, induce
    the larger and the smaller suffixes bucket by bucket), computes the permuted common prefixes up
    to the window length, and finds for every window the earliest start among its equals.
@@ -28,8 +29,8 @@ from .common import block_count, mix, ship
 from .exchange import pack, unpack
 
 WINDOW, GRAM = 100, 32
-BLOCK_BYTES = 24_000_000
-CHUNK = 1 << 18
+BLOCK_BYTES = 12_000_000
+CHUNK = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -63,12 +64,11 @@ def sliding(m: np.ndarray, least: bool) -> np.ndarray:
 
 
 def runs(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, ...]:
-    """document number, first start, number of starts and key of each run; the key at each place of a least gram.
-
-    A key with one such place stands in windows that all differ, within its run too.
+    """document number, first start, number of starts and key of each run; then the key of each place
+    of a least gram, and whether the key was already there so close that a run may repeat in itself.
     """
     found: list[tuple] = []
-    places: list[np.ndarray] = []
+    places: list[tuple] = []
 
     def flush(part: list[int]) -> None:
         b = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
@@ -81,7 +81,12 @@ def runs(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, ...]:
         valid = starts[own] + place
         inside = np.zeros(len(keys) + 2 * (SPAN - 1), np.uint64)
         inside[valid + SPAN - 1] = keys[valid]
-        places.append(grams[sliding(inside, False) == grams])
+        at = np.flatnonzero(sliding(inside, False) == grams)
+        order = np.lexsort((at, grams[at]))
+        o, g = at[order], grams[at][order]
+        close = np.zeros(len(at), bool)
+        close[order[1:]] = (g[1:] == g[:-1]) & (o[1:] - o[:-1] <= SPAN)
+        places.append((grams[at], close))
         keys = keys[valid]
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))))
         found.append((np.array(part)[own[first]], place[first], np.diff(np.append(first, len(keys))), keys[first]))
@@ -97,8 +102,8 @@ def runs(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, ...]:
     if part:
         flush(part)
     if not found:
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    return (*map(np.concatenate, zip(*found, strict=True)), np.concatenate(places))
+        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
+    return (*map(np.concatenate, zip(*found, strict=True)), *map(np.concatenate, zip(*places, strict=True)))
 
 
 # --- suffix arrays ---
@@ -170,8 +175,10 @@ def _sorted_names(names: np.ndarray) -> np.ndarray:
         if not len(tied):
             break
         nxt = np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)] + 1, 0)
-        order = np.lexsort((nxt, rank[tied]))
-        t, g, x = tied[order], rank[tied][order], nxt[order]
+        both = rank[tied] * (n + 1) + nxt
+        order = np.argsort(both)
+        t, both = tied[order], both[order]
+        g, x = both // (n + 1), both % (n + 1)
         fresh = np.concatenate(([True], g[1:] != g[:-1]))
         new = np.concatenate(([True], fresh[1:] | (x[1:] != x[:-1])))
         at = np.arange(len(t))
@@ -202,10 +209,11 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
         rough = rough[is_lms[rough]]
         size = np.zeros(n, np.int64)
         size[lms] = np.diff(np.append(lms, n)) + 1
-        power = np.cumprod(np.full(n + 1, _BASE))
-        total = np.concatenate(([np.uint64(0)], np.cumsum((s.astype(np.uint64) + np.uint64(1)) * power[:n])))
-        back = np.cumprod(np.full(n + 1, _INVERSE))
-        content = (total[np.minimum(rough + size[rough], n)] - total[rough]) * back[rough]
+        power = np.full(n + 1, _BASE)
+        total = np.concatenate(([np.uint64(0)], np.cumsum((s.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:n])))
+        power[:] = _INVERSE
+        content = (total[np.minimum(rough + size[rough], n)] - total[rough]) * np.cumprod(power, out=power)[rough]
+        del total, power
         new = np.concatenate(([True], (content[1:] != content[:-1]) | (size[rough][1:] != size[rough][:-1])))
         # the first of its equals gives a name its rank
         name = np.maximum.accumulate(np.where(new, np.arange(len(rough)), 0))
@@ -263,9 +271,11 @@ class Block:
         self.ids, self.texts = batch["doc_id"].to_numpy(), list(batch["raw"])
         self.copy = np.array([str(i) in copies for i in self.ids], bool)
         own = [b"" if c else t for c, t in zip(self.copy, self.texts, strict=True)]
-        self.doc, self.start, self.count, self.key, places = runs(own, Rolling())
+        self.doc, self.start, self.count, self.key, places, close = runs(own, Rolling())
         self.keys, self.which = np.unique(self.key, return_inverse=True)
-        self.times = np.bincount(np.searchsorted(self.keys, places), minlength=len(self.keys))
+        place = np.searchsorted(self.keys, places)
+        self.times = np.bincount(place, minlength=len(self.keys))
+        self.loops = (np.bincount(place[close], minlength=len(self.keys)) > 0)[self.which]
         shard = self.keys % np.uint64(shards)
         self.order = np.argsort(shard, kind="stable")
         self.ends = np.searchsorted(shard[self.order], np.arange(shards), side="right")
@@ -308,7 +318,7 @@ class Block:
         for part in by_shard:
             r = runs_[part]
             raw = b"".join(self.texts[d][p : p + n + WINDOW - 1] for d, p, n in zip(self.doc[r], self.start[r], self.count[r], strict=True))
-            out.append(pack(np.frombuffer(raw, np.uint8), self.count[r], self.ids[self.doc[r]].astype(np.int64), self.start[r]))
+            out.append(pack(np.frombuffer(raw, np.uint8), self.count[r], self.ids[self.doc[r]].astype(np.int64), self.start[r], self.key[r], self.loops[r]))
         return out
 
     def kept(self) -> list[tuple]:
@@ -376,7 +386,14 @@ def answer_strings(messages: list[bytes]) -> list[bytes]:
     order = np.lexsort((start, owner))
     first = np.full(len(number), -1, np.int64)
     first[place[order][::-1]] = order[::-1]
-    late = earliest(list(number), owner[first], start[first])
+    key, loops = np.concatenate([a[4] for a in asked])[first], np.concatenate([a[5] for a in asked])[first]
+    _, group, crowd = np.unique(key, return_inverse=True, return_counts=True)
+    strings = list(number)
+    late = [np.zeros(len(x) - WINDOW + 1, bool) for x in strings]
+    compare = np.flatnonzero((crowd[group] > 1) | loops)
+    if len(compare):
+        for k, found in zip(compare.tolist(), earliest([strings[k] for k in compare.tolist()], owner[first[compare]], start[first[compare]]), strict=True):
+            late[k] = found
     out, at = [], 0
     for p in places:
         bits = []
@@ -394,7 +411,7 @@ def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     ship(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
     blocks = block_count(docs, "text", block_bytes)
-    shards = blocks
+    shards = max(blocks, block_count(docs, "text", block_bytes // 3))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     dealt = docs.select("doc_id", "text", block)
     named = docs.where(F.octet_length("text") >= WINDOW).select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
