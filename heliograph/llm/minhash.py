@@ -168,14 +168,17 @@ def verify(ids: list, sets: list[np.ndarray]) -> list[tuple]:
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """a, b: verified links that span every component, between the smallest ids of the classes."""
     id_type = dict(docs.dtypes)["doc_id"]
-    classes = signed.where("n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("r")).select("r.*")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "doc_id", "n_shingles", "sketch")
-    shared = classes.select(F.explode("bands").alias("bucket")).groupBy("bucket").count().where("count > 1")
+    least = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    classes = signed.join(least, ["class", "doc_id"]).groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    buckets = classes.select(F.explode("bands").alias("bucket"), "doc_id")
+    shared = buckets.groupBy("bucket").count().where("count > 1")
+    # only now, for the few members of shared buckets, do sketches travel
+    met = buckets.join(shared, "bucket").join(classes.drop("bands"), "doc_id")
     pieces = F.ceil(F.col("count") / PIECE).cast("int")
     # a bucket beyond PIECE members is dealt into pieces, and every pair of pieces meets
     here = F.pmod(F.xxhash64("doc_id"), pieces).cast("int")
     other = F.explode(F.sequence(F.lit(0), pieces - 1))
-    dealt = buckets.join(shared, "bucket").select("bucket", "doc_id", "n_shingles", "sketch", here.alias("here"), other.alias("other"))
+    dealt = met.select("bucket", "doc_id", "n_shingles", "sketch", here.alias("here"), other.alias("other"))
     dealt = dealt.select("bucket", F.least("here", "other").alias("p"), F.greatest("here", "other").alias("q"), "doc_id", "n_shingles", "sketch")
 
     def in_buckets(batch: pd.DataFrame) -> list[tuple]:
