@@ -32,8 +32,8 @@ from .common import Forest, checkpointed, ship
 from .components import components
 
 THRESHOLD = 0.9
-TREES, LEAF, SPILL, MAX_DEPTH = 12, 512, 0.02, 16
-SAMPLE, PIECE = 20_000, 4096
+TREES, LEAF, SPILL, MAX_DEPTH = 8, 512, 0.02, 16
+SAMPLE, PIECE = 20_000, 2048
 
 
 def usable(v: object) -> np.ndarray | None:
@@ -86,31 +86,48 @@ def route(x: np.ndarray, tree: int, levels: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def compare(x: np.ndarray, side: np.ndarray, own: np.ndarray, leaf: int, weight: np.ndarray, cross: bool) -> tuple[np.ndarray, Forest]:
-    """Weighted link counts of the pairs whose first common leaf this is, and the forest of all links seen."""
+    """Weighted link counts of the pairs whose first common leaf this is, and the forest of all links.
+
+    The counts are taken within the components of the links, where a product of leaf incidences
+    tells which pairs have met in a leaf before.
+    """
     n = len(x)
     counts, forest = np.zeros(n, np.int64), Forest(n)
     for a in range(0, n, 512):
-        near = x[a : a + 512] @ x.T >= THRESHOLD
-        i, j = np.nonzero(near)
-        i += a
-        keep = i < j
+        i, j = np.nonzero(x[a : a + 512] @ x[a:].T >= THRESHOLD)
+        i, j = i + a, j + a
+        keep = (i < j) & (side[i] != side[j]) if cross else i < j
         i, j = i[keep], j[keep]
-        if cross:
-            keep = side[i] != side[j]
-            i, j = i[keep], j[keep]
-        for lo in range(0, len(i), 50_000):
-            u, v = i[lo : lo + 50_000], j[lo : lo + 50_000]
-            first = ~((own[u][:, :, None] == own[v][:, None, :]) & (own[u] < leaf)[:, :, None] & (own[u] >= 0)[:, :, None]).any(axis=(1, 2))
-            np.add.at(counts, u[first], weight[v[first]])
-            np.add.at(counts, v[first], weight[u[first]])
-        for u in np.unique(i):
-            others = j[i == u] if len(i) < 4096 else j[np.searchsorted(i, u) : np.searchsorted(i, u, side="right")]
-            roots = forest.up[others] != forest.up[u]
-            if roots.any():
-                forest.join(u, others)
+        for u, lo, hi in zip(*(k.tolist() for k in _groups(i)), strict=True):
+            if (forest.up[j[lo:hi]] != forest.up[u]).any():
+                forest.join(u, j[lo:hi])
+    roots = forest.roots()
+    order = np.argsort(roots, kind="stable")
+    for _, lo, hi in zip(*_groups(roots[order]), strict=True):
+        if hi - lo < 2:
+            continue
+        m = order[lo:hi]
+        earlier, at = np.unique(np.where((own[m] < leaf) & (own[m] >= 0), own[m], -1), return_inverse=True)
+        met = np.zeros((len(m), len(earlier)), np.float32)
+        np.put_along_axis(met, at.reshape(len(m), -1), 1, axis=1)
+        met[:, earlier == -1] = 0
+        for a in range(0, len(m), 512):
+            part = m[a : a + 512]
+            linked = (x[part] @ x[m].T >= THRESHOLD) & (met[a : a + 512] @ met.T == 0) & (part[:, None] != m[None, :])
+            if cross:
+                linked &= side[part][:, None] != side[m][None, :]
+            counts[part] = linked @ weight[m]
     return counts, forest
 
 
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, start and end of each run of equal values."""
+    if not len(values):
+        return values, values, values
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[first], first, np.append(first[1:], len(values))
+
+
 def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     ship(rows.sparkSession)
