@@ -5,11 +5,204 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heliograph.operators import detect, evaluate, findings, inject, measures, retrieval
+from heliograph.sources import panels
+from heliograph.sources.panels import in_windows, read, windows_of
+
+KEYS = measures.KEYS
+SPAN_DAYS = 14
+
+
+def _windowed(spark: SparkSession, sf_dir: str, days: int = SPAN_DAYS) -> DataFrame:
+    panel = panels.events_hourly(spark, sf_dir)
+    return in_windows(panel, windows_of(panel, days))
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole record of the daily panel with its year as the window."""
+    return panels.lineitem_daily(spark, sf_dir).withColumn("window_id", F.year("day")).withColumn("pr", F.try_divide("ac_power_kw", "poa_wm2"))
+
+
+def _strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.lineitem_strings(spark, sf_dir).withColumn("window_id", F.year("day"))
+
+
+def pr_window(spark, sf_dir):
+    return measures.performance_ratio(_windowed(spark, sf_dir))
+
+
+def pr_daily(spark, sf_dir):
+    return measures.performance_ratio(_windowed(spark, sf_dir), keys=["system_id", "on_day"])
+
+
+def expected_output(spark, sf_dir):
+    return measures.expected_output(_windowed(spark, sf_dir))
+
+
+def time_of_day_profile(spark, sf_dir):
+    return measures.time_of_day_profile(_windowed(spark, sf_dir))
+
+
+def dc_to_ac_conversion(spark, sf_dir):
+    return measures.dc_to_ac(_windowed(spark, sf_dir))
+
+
+def temperature_sensor(spark, sf_dir):
+    return measures.temperature_sensor(_windowed(spark, sf_dir))
+
+
+def ac_ceiling(spark, sf_dir):
+    return measures.ac_ceiling(_windowed(spark, sf_dir), flatness=0.05, min_run=1)
+
+
+def stuck_channels(spark, sf_dir):
+    return measures.stuck_channels(_windowed(spark, sf_dir), ["poa_wm2", "temp_module_c", "wind_speed_ms"], min_run=2, tolerance=0.5)
+
+
+def data_quality(spark, sf_dir):
+    return measures.data_quality(_windowed(spark, sf_dir))
+
+
+def daily_completeness(spark, sf_dir):
+    return measures.daily_completeness(panels.events_hourly(spark, sf_dir))
+
+
+def onset_changepoint(spark, sf_dir):
+    return measures.onset(_daily(spark, sf_dir), "ac_power_kw", KEYS)
+
+
+def performance_trend(spark, sf_dir):
+    return measures.trend(_daily(spark, sf_dir), "pr", KEYS, recovery_step=0.01)
+
+
+def soiling_recovery(spark, sf_dir):
+    return measures.soiling_recovery(_daily(spark, sf_dir).withColumn("insolation", F.col("poa_wm2")), KEYS, wash_quantile=0.7)
+
+
+def string_balance(spark, sf_dir):
+    return measures.string_balance(_strings(spark, sf_dir), KEYS)
+
+
+def string_profiles(spark, sf_dir):
+    return measures.string_profiles(_strings(spark, sf_dir), KEYS)
+
+
+def string_onset(spark, sf_dir):
+    return measures.string_onset(_strings(spark, sf_dir), KEYS)
+
+
+def trailing_baseline(spark, sf_dir):
+    days = panels.lineitem_daily(spark, sf_dir)
+    return measures.trailing_baseline(days, windows_of(days, 60, "day"))
+
+
+def weather_context(spark, sf_dir):
+    days = panels.lineitem_daily(spark, sf_dir)
+    return measures.weather_context(days, windows_of(days, 60, "day"))
+
+
+def _inside(lo: str = "2024-01-08", hi: str = "2024-01-20"):
+    return (F.col("ts") >= F.lit(lo).cast("timestamp")) & (F.col("ts") <= F.lit(hi).cast("timestamp"))
+
+
+def _injected(frame: DataFrame) -> DataFrame:
+    return frame.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("poa_wm2"), 4).alias("poa"), F.round(F.sum("ac_power_kw"), 4).alias("ac"), F.round(F.sum("dc_power_kw"), 4).alias("dc"))
+
+
+def inject_outage(spark, sf_dir):
+    return _injected(inject.outage(panels.events_hourly(spark, sf_dir), _inside(), 1 / 7, 0.8))
+
+
+def inject_shading(spark, sf_dir):
+    return _injected(inject.shading(panels.events_hourly(spark, sf_dir), _inside(), 6, 10, 0.5, 2))
+
+
+def inject_soiling(spark, sf_dir):
+    return _injected(inject.soiling(panels.events_hourly(spark, sf_dir), _inside(), 0.01, 0.05))
+
+
+def inject_cap(spark, sf_dir):
+    return _injected(inject.power_cap(panels.events_hourly(spark, sf_dir), _inside(), 500.0))
+
+
+def inject_drift(spark, sf_dir):
+    return _injected(inject.sensor_drift(panels.events_hourly(spark, sf_dir), _inside(), -0.004, 0.1))
+
+
+def inject_gap(spark, sf_dir):
+    return _injected(inject.telemetry_gap(panels.events_hourly(spark, sf_dir), _inside()))
+
+
+def _ledger(spark, sf_dir, days: int) -> DataFrame:
+    rows = _windowed(spark, sf_dir, days)
+    return measures.data_quality(rows).join(measures.performance_ratio(rows).select(*KEYS, "pr", "data_completeness"), KEYS, "left").join(measures.expected_output(rows).select(*KEYS, "deficit_fraction"), KEYS, "left").join(measures.ac_ceiling(rows).select(*KEYS, "flat_ceiling_share"), KEYS, "left")
+
+
+def sweep_signals(spark, sf_dir):
+    return detect.signals(_ledger(spark, sf_dir, 1))
+
+
+def rules_verdict(spark, sf_dir):
+    return detect.verdicts(_ledger(spark, sf_dir, 1))
+
+
+def findings_lifecycle(spark, sf_dir):
+    """Sweeps are days; a user with a purchase of 150 or more that day, in one of 50 groups, is a finding."""
+    events = read(spark, sf_dir, "events").select(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("sweep"), "user_id", "event_type", "value")
+    seen = events.where("event_type = 'purchase' and value >= 150").select(F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string")).alias("identity"), "sweep")
+    return findings.current(findings.lifecycle(seen, events.select("sweep").distinct()))
+
+
+def _texts(spark, sf_dir):
+    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return chunks, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def bm25_search(spark, sf_dir):
+    chunks, queries_ = _texts(spark, sf_dir)
+    return retrieval.top(retrieval.bm25(chunks, queries_), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def hybrid_search(spark, sf_dir):
+    """BM25 and n-gram rankings of the conversations for the benchmark items, fused and reranked."""
+    chunks = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    queries_ = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
+    rankings = [retrieval.top(retrieval.bm25(chunks, queries_), 30), retrieval.top(retrieval.ngram_cosine(chunks, queries_), 30)]
+    return retrieval.rerank(retrieval.fuse(rankings, 30), chunks, queries_, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _cases(spark, sf_dir):
+    labels, docs = read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return labels.join(docs, "doc_id").select(F.col("quality").alias("truth"), (F.col("n_chars") > 1500).cast("int").alias("predicted"))
+
+
+def macro_f1(spark, sf_dir):
+    return evaluate.macro_f1(_cases(spark, sf_dir))
+
+
+def confusion(spark, sf_dir):
+    return evaluate.confusion(_cases(spark, sf_dir), [0, 1]).withColumnsRenamed({"0": "predicted_0", "1": "predicted_1"})
+
+
+def split_attempts(spark, sf_dir):
+    trace = read(spark, sf_dir, "conversations").withColumn("step", F.col("turn") % 3)
+    return evaluate.attempts(trace, "conv_id", "turn", "step").groupBy("conv_id").agg((F.max("attempt") + 1).alias("attempts"), F.count("*").alias("steps"))
+
+
+NAMES = (
+    pr_window, pr_daily, expected_output, time_of_day_profile, dc_to_ac_conversion, temperature_sensor, ac_ceiling, stuck_channels, data_quality, daily_completeness, onset_changepoint, performance_trend,
+    soiling_recovery, string_balance, string_profiles, string_onset, trailing_baseline, weather_context, inject_outage, inject_shading, inject_soiling, inject_cap, inject_drift, inject_gap, sweep_signals,
+    rules_verdict, findings_lifecycle, bm25_search, hybrid_search, macro_f1, confusion, split_attempts,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from heliograph.oracles import SQL
+
+    return dict(SQL)
