@@ -13,8 +13,8 @@ numbers keep the country code, mail addresses the top-level domain, honorifics s
 given name moves within the list of its gender and script.
 
 *Collision check.*  A surrogate that equals an entity of the corpus would claim that entity's
-mentions.  The distinct entities are therefore joined with the surrogates, and a surrogate found
-among them walks on (cycle walking) until it leaves the set; this keeps the mapping one-to-one.
+mentions.  The distinct entities are therefore joined with the surrogates; an entity whose surrogate
+is found among them tries other keys, until the surrogate is neither an entity nor given already.
 
 Defined results.  A null text stays null and has no entities; an empty text stays empty.  Rows that
 repeat are treated alike.  All other columns pass through untouched, under their own names.
@@ -29,6 +29,7 @@ from .common import checkpointed
 
 #: Exceptions of the collision check are written into the plan up to this many, beyond it joined.
 MAX_INLINE = 2000
+ATTEMPTS = 12
 
 # Honorifics and given names by script and gender.
 MALE_TITLES = "Mr Herr Monsieur Señor Sr Signor Господин Κύριος".split()
@@ -156,27 +157,27 @@ def entities(text: Column) -> Column:
 
 
 def exceptions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """entity, surrogate: for the entities whose first surrogate is itself an entity of the corpus."""
+    """entity, surrogate: for the entities whose first surrogate is itself an entity of the corpus.
+
+    Each attempt walks under another key and is checked against the entities and against all
+    surrogates given so far.  What ``ATTEMPTS`` leave over, in a shape whose values are all but
+    used up, keeps the first surrogate: it is an entity, so no later attempt has taken it.
+    """
     known = checkpointed(docs.select(F.explode(F.array_distinct(entities(F.col(text)))).alias("entity")).distinct())
-    walking = known.select("entity", surrogate(F.col("entity"), key).alias("first")).withColumn("surrogate", F.col("first"))
-    done = []
-    while True:
-        caught = checkpointed(walking.join(known.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi"))
-        if caught.isEmpty():
+    as_surrogate = known.select(F.col("entity").alias("surrogate"))
+    given = checkpointed(known.select("entity", surrogate(F.col("entity"), key).alias("surrogate")))
+    left = checkpointed(given.join(as_surrogate, "surrogate", "left_semi").select("entity"))
+    found = given.limit(0)
+    given = given.join(left, "entity", "left_anti")
+    for attempt in range(1, ATTEMPTS + 1):
+        if left.isEmpty():
             break
-        further = caught.select("entity", "first", surrogate(F.col("surrogate"), key).alias("surrogate"))
-        # a cycle that lies in the corpus as a whole keeps its first surrogates, which are distinct
-        whole = F.col("surrogate") == F.col("entity")
-        further = checkpointed(further.select("entity", "first", F.when(whole, F.col("first")).otherwise(F.col("surrogate")).alias("surrogate"), whole.alias("closed")))
-        done.append(further.select("entity", "surrogate"))
-        walking = further.where(~F.col("closed")).drop("closed")
-    if not done:
-        return known.select("entity", F.col("entity").alias("surrogate")).limit(0)
-    every = None
-    for step, frame in enumerate(done):
-        frame = frame.withColumn("step", F.lit(step))
-        every = frame if every is None else every.unionByName(frame)
-    return every.groupBy("entity").agg(F.max_by("surrogate", "step").alias("surrogate"))
+        tried = checkpointed(left.select("entity", surrogate(F.col("entity"), f"{key}#{attempt}").alias("surrogate")))
+        fits = tried.join(as_surrogate, "surrogate", "left_anti").join(given.select("surrogate"), "surrogate", "left_anti").select("entity", "surrogate")
+        fits = checkpointed(fits)
+        left = checkpointed(left.join(fits.select("entity"), "entity", "left_anti"))
+        given, found = given.unionByName(fits), found.unionByName(fits)
+    return found
 
 
 def redact(docs: DataFrame, key: str = "heliograph", text: str = "text") -> DataFrame:
