@@ -107,7 +107,7 @@ hh AS (SELECT *, row_number() OVER (PARTITION BY {kw} ORDER BY on_day) <= count(
 SELECT {kw}, round(sum(e), 3) AS expected_kwh, round(sum(m), 3) AS measured_kwh, round(1 - sum(m) / sum(e), 6) AS deficit_fraction, round(1 - sum(m) FILTER (first) / sum(e) FILTER (first), 6) AS deficit_first_half,
   round(1 - sum(m) FILTER (NOT first) / sum(e) FILTER (NOT first), 6) AS deficit_second_half, arg_min(on_day, m - e) AS worst_day, count(*) AS days_compared FROM hh GROUP BY {kw}""",
         "time_of_day_profile": f"""WITH {_panel()}, {EXPECTED}, hr AS (SELECT {kw}, hour(ts)::INTEGER AS hour, sum(coalesce(ac, 0)) / sum(expected) AS ratio FROM x WHERE expected >= 5 GROUP BY ALL)
-SELECT {kw}, hour, round(ratio, 6) AS ratio, round(ratio / median(ratio) OVER (PARTITION BY {kw}), 6) AS shape FROM hr""",
+SELECT {kw}, hour, round(ratio, 6) AS ratio, round(ratio / nullif(median(ratio) OVER (PARTITION BY {kw}), 0), 6) AS shape FROM hr""",
         "dc_to_ac_conversion": f"""WITH {_panel()}, l AS (SELECT *, ac / dc AS ratio FROM p WHERE dc >= 5 AND ac IS NOT NULL), dd AS (SELECT {kw}, on_day, median(ratio) AS daily FROM l GROUP BY ALL),
 hh AS (SELECT *, row_number() OVER (PARTITION BY {kw} ORDER BY on_day) <= count(*) OVER (PARTITION BY {kw}) // 2 AS first FROM dd),
 hv AS (SELECT {kw}, round(median(daily) FILTER (first), 6) AS conversion_first_half, round(median(daily) FILTER (NOT first), 6) AS conversion_second_half, count(*) AS days_compared FROM hh GROUP BY {kw})
