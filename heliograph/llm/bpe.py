@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+#: Words, and pieces between white space, kept by a worker; beyond it the cache starts anew.
+CACHE_WORDS = 150_000
+SHIFT, MASK, NONE = 24, (1 << 24) - 1, 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -36,6 +37,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class Pieces(dict):
+    """piece between white space -> its ids; hits cost one lookup."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> bytes:
+        found = b"".join(map(self.bpe.encode_word, self.bpe.word.findall(piece)))
+        if len(piece) < 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Bpe:
     """A BPE of words with end-of-word marks, read from a tokenizers file."""
 
@@ -49,14 +65,17 @@ class Bpe:
         for token, i in (self.ids | self.special).items():
             self.tokens[i] = token
         merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.together = {pair for s in map(self.symbols, self.ids) for pair in zip(s, s[1:], strict=False)}
+        # a pair of ids is one number, and so is a merge: its rank, then the id it makes
+        self.merge = {self.ids[a] << SHIFT | self.ids[b]: rank << SHIFT | self.ids[a + b] for rank, (a, b) in enumerate(merges)}
+        self.together = {self.ids[a] << SHIFT | self.ids[b] for s in map(self.symbols, self.ids) for a, b in zip(s, s[1:], strict=False) if a in self.ids and b in self.ids}
+        self.letters = [self.ids.get(c) for c in byte_letters()]
+        self.last = [self.ids.get(c + self.end) for c in byte_letters()]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split)
         self.white = regex.compile(f"[{WHITE}]+")
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.letters = byte_letters()
-        self.cache: dict[str, bytes] = {}
+        self.cache = Pieces(self)
+        self.words: dict[str, bytes] = {}
 
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -64,40 +83,49 @@ class Bpe:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def fragments(self, symbols: list[str]) -> Iterator[list[str]]:
-        start = 0
-        for i in range(1, len(symbols)):
-            if (symbols[i - 1], symbols[i]) not in self.together:
-                yield symbols[start:i]
-                start = i
-        yield symbols[start:]
-
-    def merged(self, part: list[str]) -> list[str]:
+    def merged(self, part: list[int], pairs: list[int]) -> list[int]:
         """Merge the adjacent pair of lowest rank, the leftmost first, until none is left."""
-        rank = self.rank
-        while len(part) > 1:
-            best, at = min((rank.get((part[i], part[i + 1]), 1 << 60), i) for i in range(len(part) - 1))
-            if best == 1 << 60:
+        get = self.merge.get
+        ranks = [get(pair, NONE) for pair in pairs]
+        while ranks:
+            best = min(ranks)
+            if best == NONE:
                 break
-            part[at : at + 2] = [part[at] + part[at + 1]]
+            i = ranks.index(best)
+            part[i] = new = best & MASK
+            del part[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(new << SHIFT | part[i + 1], NONE)
+            if i:
+                ranks[i - 1] = get(part[i - 1] << SHIFT | new, NONE)
         return part
 
-    def encode_word(self, word: str) -> list[int]:
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.end
-        known = [s for s in symbols if s in self.ids]
-        return [self.ids[t] for part in self.fragments(known) for t in self.merged(part)] if known else []
+    def encode_word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            raw = word.encode()
+            part = [self.letters[b] for b in raw]
+            part[-1] = self.last[raw[-1]]
+            if None in part:  # a vocabulary without that byte drops it
+                part = [p for p in part if p is not None]
+            pairs = [a << SHIFT | b for a, b in zip(part, part[1:])]  # noqa: B905
+            cuts = [i + 1 for i, pair in enumerate(pairs) if pair not in self.together]
+            if cuts:
+                ids: list[int] = []
+                for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
+                    ids += self.merged(part[a:b], pairs[a : b - 1])
+            else:
+                ids = self.merged(part, pairs)
+            found = array("I", ids).tobytes()
+            if len(word) < 64:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                self.words[word] = found
+        return found
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a piece without white space, as little-endian 32-bit integers."""
-        found = self.cache.get(chunk)
-        if found is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            found = array("I", [i for w in self.word.findall(chunk) for i in self.encode_word(w)]).tobytes()
-            if len(chunk) < 64:
-                self.cache[chunk] = found
-        return found
+        return self.cache[chunk]
 
     def normalized(self, text: str) -> str:
         text = self.white.sub(" ", unicodedata.normalize("NFC", text))
@@ -105,12 +133,12 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         if self.marks is None or not self.marks.search(text):
-            return b"".join(map(self.chunk, self.normalized(text).split(" ")))
+            return b"".join(map(self.cache.__getitem__, self.normalized(text).split(" ")))
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += [*map(self.chunk, self.normalized(text[at : m.start()]).split(" ")), array("I", [self.special[m[0]]]).tobytes()]
+            out += [*map(self.cache.__getitem__, self.normalized(text[at : m.start()]).split(" ")), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return b"".join([*out, *map(self.chunk, self.normalized(text[at:]).split(" "))])
+        return b"".join([*out, *map(self.cache.__getitem__, self.normalized(text[at:]).split(" "))])
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder, so tokens are joined by spaces."""
