@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,8 +49,13 @@ def sha256_text(column: F.Column) -> F.Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a session, for clusters where it isn't installed."""
+    """Give executors this package, once a session, for clusters where it isn't installed.
+
+    Rows hold whole texts, so Arrow batches are kept short.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(context, "_heliograph_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

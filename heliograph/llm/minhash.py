@@ -44,7 +44,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, computed once; starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
