@@ -6,7 +6,7 @@ coordinate fills after at most 2*WIDTH rounds, most sets fill them in one, and t
 coordinates concentrates around the Jaccard similarity.
 
 *Banding.*  ``BANDS`` bands of ``ROWS`` coordinates; documents meeting in a band are candidates.  At a
-similarity of 0.85 a pair meets nowhere with probability (1 - 0.85^4)^25, below 1e-8.
+similarity of 0.85 a pair meets nowhere with probability (1 - 0.85^4)^25, below 1e-8; at 0.8, 2e-6.
 
 *From candidates to links.*  Documents of one shingle set are one class, seen through its smallest
 id.  In a band bucket classes whose sketches might reach the threshold are chained into clusters
@@ -37,8 +37,9 @@ WIDTH, BANDS, ROWS = 100, 25, 4
 BLOCK = 2000
 #: A bucket's sketches are chained in pieces of this size, each against the ones before by leaders.
 PIECE = 4000
-#: Links need 100 * common >= 85 * union.
-PERCENT = 85
+#: Links need 100 * common >= percent * union: by contract 85 in the query, 80 where a corpus is deduplicated.
+PERCENT, CORPUS_PERCENT = 85, 80
+
 
 class WordHashes(dict):
     """word -> 64-bit hash, computed once; starts anew when it has grown large."""
@@ -110,11 +111,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, n_shingles long, class binary, sketch binary, bands array<long>")
 
 
-def chain(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float = 0.6) -> list[tuple]:
-    """Edges of a spanning forest of the pairs whose sketches agree in ``least`` of the coordinates.
+def chain(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int = PERCENT) -> list[tuple]:
+    """Edges of a spanning forest of the pairs whose sketches agree in ``percent`` - 25 of 100 coordinates.
 
-    0.85 lies seven standard deviations above 0.6, so no link is lost here.
+    That lies six standard deviations below the threshold, so no link is lost here.
     """
+    least = percent / 100 - 0.25
     order = np.lexsort((ids,))
     ids, sizes, sketches = ids[order], sizes[order], sketches[order]
     forest = Forest(len(ids))
@@ -122,7 +124,7 @@ def chain(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float
         rest = np.flatnonzero(forest.roots() != forest.up[i])
         if not len(rest):
             break
-        rest = rest[(100 * np.minimum(sizes[rest], sizes[i]) >= PERCENT * np.maximum(sizes[rest], sizes[i]))]
+        rest = rest[(100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
         near = rest[(sketches[rest] == sketches[i]).mean(1) >= least] if len(rest) else rest
         if len(near):
             forest.join(i, near)
@@ -130,7 +132,7 @@ def chain(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float
     return [(ids[i], ids[r]) for i, r in enumerate(roots) if i != r]
 
 
-def verify(ids: list, sets: list[np.ndarray]) -> list[tuple]:
+def verify(ids: list, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple]:
     """Edges of a spanning forest of the pairs that are links, found by leaders.
 
     Every element is marked by number, so a leader meets all members in one pass over their sets;
@@ -147,7 +149,7 @@ def verify(ids: list, sets: list[np.ndarray]) -> list[tuple]:
         roots = forest.roots()
         if not (roots != roots[i]).any():
             break
-        open_ = (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
+        open_ = (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         if not open_.any():
             continue
         rest = np.flatnonzero(open_)
@@ -158,14 +160,14 @@ def verify(ids: list, sets: list[np.ndarray]) -> list[tuple]:
         else:
             common = np.array([marked[flat[starts[j] : ends[j]]].sum() for j in rest])
         marked[own] = 0
-        linked = rest[100 * common >= PERCENT * (sizes[rest] + sizes[i] - common)]
+        linked = rest[100 * common >= percent * (sizes[rest] + sizes[i] - common)]
         if len(linked):
             edges += [(ids[i], ids[j]) for j in linked]
             forest.join(i, linked)
     return edges
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: verified links that span every component, between the smallest ids of the classes."""
     id_type = dict(docs.dtypes)["doc_id"]
     least = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -186,7 +188,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         for _, g in batch.groupby(["bucket", "p", "q"], sort=False):
             if len(g) > 1:
                 sketches = np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), WIDTH)
-                rows += chain(g["doc_id"].to_numpy(), g["n_shingles"].to_numpy(), sketches)
+                rows += chain(g["doc_id"].to_numpy(), g["n_shingles"].to_numpy(), sketches, percent)
         return rows
 
     def chained(batch: pd.DataFrame) -> pd.DataFrame:
@@ -208,17 +210,17 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         hashes, rows = WordHashes(), []
         for _, g in batch.groupby(["component", "p", "q"], sort=False):
             g = g.drop_duplicates("doc_id")
-            rows += verify(list(g["doc_id"]), [shingles(t, hashes) for t in g["text"]])
+            rows += verify(list(g["doc_id"]), [shingles(t, hashes) for t in g["text"]], percent)
         return pd.DataFrame(rows, columns=["a", "b"])
 
     group = F.when((F.col("p") == 0) & (F.col("q") == 0), F.pmod(F.xxhash64("component"), F.lit(1024))).otherwise(F.xxhash64("component", "p", "q"))
     return texts.withColumn("g", group).groupBy("g").applyInPandas(verified, f"a {id_type}, b {id_type}")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     signed = checkpointed(signatures(docs))
-    found = components(links(docs, signed))
+    found = components(links(docs, signed, percent))
     least = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(found, least["least"] == found["node"], "left").select("class", F.coalesce("component", "least").alias("component"))
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
@@ -226,6 +228,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = CORPUS_PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document represents its group."""
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(near_duplicates(docs, percent).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)

@@ -223,6 +223,29 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
     return induce(s, smaller, lms, letters)
 
 
+def _confirmed(b: np.ndarray, place: np.ndarray, before: np.ndarray, likely: np.ndarray) -> np.ndarray:
+    """Which ``likely`` windows equal their forerunner's byte by byte.
+
+    Permuted common prefixes shrink by one at most from a place to the next, so where the place before
+    has reached the window with the same distance, only the last byte is compared.
+    """
+    goes_on = np.zeros(len(place), bool)
+    goes_on[1:] = likely[1:] & likely[:-1] & (place[1:] == place[:-1] + 1) & (before[1:] == before[:-1] + 1)
+    equal = np.zeros(len(place), bool)
+    at = np.flatnonzero(likely & goes_on)
+    equal[at] = b[place[at] + WINDOW - 1] == b[before[at] + WINDOW - 1]
+    windows = np.lib.stride_tricks.sliding_window_view(b, WINDOW)
+    first = np.flatnonzero(likely & ~goes_on)
+    for a in range(0, len(first), CHUNK):
+        at = first[a : a + CHUNK]
+        equal[at] = (windows[place[at]] == windows[before[at]]).all(1)
+    # a run is confirmed as far as its first inequality
+    broken = np.cumsum(~equal & likely)
+    start = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(place))))
+    clean = broken - np.where(start > 0, broken[np.maximum(start - 1, 0)], 0) == 0
+    return equal & clean
+
+
 def earliest(strings: list[bytes], owner: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
     """For each string the windows that also start earlier, by (owner, start) of the string plus the offset.
 
@@ -246,6 +269,7 @@ def earliest(strings: list[bytes], owner: np.ndarray, start: np.ndarray) -> list
     (content,) = Rolling()(joined, WINDOW)
     before = np.where((phi[place] >= 0) & (number[phi[place]] >= 0), phi[place], -1)
     reaches = (before >= 0) & (content[place] == content[np.maximum(before, 0)])
+    reaches &= _confirmed(joined, place, before, reaches)
     in_order = number[sa]
     in_order = in_order[in_order >= 0]
     rank = np.empty(len(place), np.int64)
