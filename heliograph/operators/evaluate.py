@@ -29,3 +29,94 @@ def attempts(trace: DataFrame, key: str, order: str, step: str) -> DataFrame:
     """A new attempt begins wherever the step index doesn't grow."""
     back = F.coalesce(F.col(step) <= F.lag(step).over(Window.partitionBy(key).orderBy(order)), F.lit(False))
     return islands(trace, [key], order, back).withColumnRenamed("island", "attempt")
+
+
+LOOKALIKE, ALARMING = ("by_design", "not_the_plant"), ("fault", "recoverable")
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Flags of each case: rows hold truth_category, truth_cause, truth_settled, category, cause, settled.
+
+    A prediction that abstains earns no credit for what it left in its other fields.
+    """
+    both, neither = F.col("truth_settled") & F.col("settled"), ~F.col("truth_settled") & ~F.col("settled")
+    right = lambda a, b: neither | (both & F.coalesce(F.col(a) == F.col(b), F.lit(False)))
+    alarm = F.col("settled") & F.coalesce(F.col("category").isin(*ALARMING), F.lit(False))
+    lookalike = F.coalesce(F.col("truth_category").isin(*LOOKALIKE), F.lit(False))
+    return rows.withColumns({
+        "is_lookalike": lookalike, "category_correct": right("truth_category", "category"), "cause_correct": right("truth_cause", "cause"), "false_alarm": lookalike & alarm,
+        "missed_fault": F.coalesce(F.col("truth_category") == "fault", F.lit(False)) & ~alarm, "correct_abstention": neither, "wrong_abstention": F.col("truth_settled") & ~F.col("settled"),
+    })
+
+
+def report(flags: DataFrame, keys: list[str]) -> DataFrame:
+    """Rates by split; a rate without cases to count is NULL, not 0."""
+    share = lambda flag, of=F.lit(True): F.round(F.try_divide(F.count_if(of & F.col(flag)), F.count_if(of)), 4)
+    return flags.groupBy(*keys).agg(
+        F.count("*").alias("cases"), share("category_correct").alias("category_accuracy"), share("cause_correct").alias("cause_accuracy"), share("false_alarm", F.col("is_lookalike")).alias("false_alarm_rate"),
+        F.count_if("is_lookalike").alias("look_alike_cases"), share("missed_fault", F.coalesce(F.col("truth_category") == "fault", F.lit(False))).alias("missed_fault_rate"),
+        share("correct_abstention", ~F.col("truth_settled")).alias("correct_abstention_rate"), F.count_if(~F.col("truth_settled")).alias("unresolvable_cases"), F.count_if("wrong_abstention").alias("wrong_abstentions"),
+    )
+
+
+def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cases two systems judge differently; a and b hold case_id, cause, cause_correct."""
+    left, right = (x.select("case_id", F.col("cause").alias(f"cause_{n}"), F.col("cause_correct").alias(f"correct_{n}")) for x, n in ((a, "a"), (b, "b")))
+    both = left.join(right, "case_id").where(~F.col("cause_a").eqNullSafe(F.col("cause_b")))
+    return both.withColumn("winner", F.when(F.col("correct_a") == F.col("correct_b"), "neither").when(F.col("correct_a"), "a").otherwise("b"))
+
+
+def repeats(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean and sample deviation over repeated runs; a single run deviates by 0."""
+    return runs.groupBy(*keys).agg(F.count(value).alias("runs"), F.round(F.avg(value), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 4).alias("deviation"))
+
+
+def quotas(sizes: dict, size: int) -> dict:
+    """Places of each stratum: shares rounded by largest remainder, but one at least."""
+    total = sum(sizes.values())
+    if size >= total:
+        return dict(sizes)
+    share = {k: n * size / total for k, n in sizes.items()}
+    places = {k: max(int(s), 1) for k, s in share.items()}
+    while (over := sum(places.values()) - size) and (over < 0 or max(places.values()) > 1):
+        if over > 0:
+            key = max((k for k in places if places[k] > 1), key=lambda k: (places[k] - share[k], k))
+        else:
+            key = max(places, key=lambda k: (share[k] - places[k], k))
+        places[key] += -1 if over > 0 else 1
+    return places
+
+
+def stratified(cases: DataFrame, strata: list[str], id_column: str, size: int, seed: int = 0) -> DataFrame:
+    """A subset that keeps the shape of the strata; within one the smallest hashes of seed and id are drawn.
+
+    Only the strata's counts reach the driver; strata are combinations of category and settledness.
+    """
+    counts = {tuple(r[c] for c in strata): r["count"] for r in cases.groupBy(*strata).count().collect()}
+    order = {k: str(k) for k in counts}
+    places = {k: n for k, n in zip(counts, (quotas({order[k]: n for k, n in counts.items()}, size)[order[k]] for k in counts), strict=True)}
+    if not places:
+        return cases
+    types = dict(cases.dtypes)
+    table = cases.sparkSession.createDataFrame([(*k, n) for k, n in places.items()], ", ".join(f"`{c}` {types[c]}" for c in strata) + ", __places int")
+    drawn = F.row_number().over(Window.partitionBy(*strata).orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_column)).cast("binary"), 256), id_column))
+    condition = [F.col(f"c.{s}").eqNullSafe(F.col(f"t.{s}")) for s in strata]
+    marked = cases.withColumn("__drawn", drawn).alias("c").join(F.broadcast(table).alias("t"), condition)
+    return marked.where("__drawn <= __places").select(*(F.col(f"c.{c}") for c in cases.columns))
+
+
+def profile(trace: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls, seconds, cost and tokens by node, with each node's share of the seconds."""
+    by = trace.groupBy(*keys, "node").agg(F.count("*").alias("calls"), F.sum("latency_ms").alias("ms"), F.sum("cost_usd").alias("cost_usd"), F.sum("tokens").alias("tokens"))
+    whole = F.sum("ms").over(Window.partitionBy(*keys))
+    return by.select(*keys, "node", "calls", F.round(F.col("ms") / 1000, 3).alias("seconds"), F.round(F.try_divide("ms", whole), 4).alias("share"), F.round("cost_usd", 6).alias("cost_usd"), "tokens")
+
+
+def agency(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs that answered: distinct trajectories, unplanned calls, and upper medians of cost and latency over uncached runs."""
+    done = predictions.where("failed_with is null")
+    upper = lambda c: F.element_at(F.array_sort(F.collect_list(F.when(F.col("llm_calls") > F.col("cached_calls"), F.col(c)))), (F.floor(F.count_if(F.col("llm_calls") > F.col("cached_calls")) / 2) + 1).cast("int"))
+    return done.groupBy(*keys).agg(
+        F.count("*").alias("runs"), F.count_distinct("tools_called").alias("trajectories"), F.round(F.try_divide(F.sum(F.size("unplanned_tools")), F.sum(F.size("tools_called"))), 4).alias("unplanned_rate"),
+        F.when(F.count_if(F.col("llm_calls") > F.col("cached_calls")) > 0, upper("cost_usd")).alias("median_cost_usd"), F.when(F.count_if(F.col("llm_calls") > F.col("cached_calls")) > 0, upper("latency_ms")).alias("median_latency_ms"),
+    )

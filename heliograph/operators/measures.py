@@ -236,3 +236,45 @@ def weather_context(days: DataFrame, windows: DataFrame) -> DataFrame:
         _r(F.first("mean"), 3).alias("mean_daily_insolation"), _r(F.avg("poa_wm2"), 3).alias("seasonal_norm"), _r(F.try_divide(F.first("mean"), F.avg("poa_wm2"))).alias("relative_to_norm"),
         F.first("days_in_window").alias("days_in_window"), F.count("*").alias("seasonal_days_compared"),
     )
+
+
+def flatline(rows: DataFrame, channels: list[str], min_run: int = 12, keys: list[str] = KEYS) -> DataFrame:
+    """Share of samples in runs of ``min_run`` equal values; a NULL breaks a run.
+
+    Irradiance and AC power count only while irradiance is above 50, as they stand still at night.
+    """
+    lit = F.coalesce(F.col("poa_wm2") > 50, F.lit(False))
+    shown = rows.select(*keys, "ts", *(F.when(lit, F.col(c)).alias(c) if c in ("poa_wm2", "ac_power_kw") else F.col(c) for c in channels))
+    long = shown.unpivot([*keys, "ts"], channels, "channel", "value")
+    own = [*keys, "channel"]
+    same = F.coalesce(F.col("value") == F.lag("value").over(Window.partitionBy(*own).orderBy("ts")), F.lit(False))
+    runs = islands(long.withColumn("same", same), own, "ts", ~F.col("same")).withColumn("length", F.count("value").over(Window.partitionBy(*own, "island")))
+    return runs.groupBy(*own).agg(_r(F.count_if(F.col("length") >= min_run) / F.count("*")).alias("flat_share"), F.max("length").alias("longest_run"))
+
+
+def against_history(now: DataFrame, before: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """A string's value in the window beside its value over the record before; without a history the change is NULL, not 0.
+
+    ``now`` and ``before`` hold keys, string_idx and ``value``.
+    """
+    past = before.select(*keys, "string_idx", F.col(value).alias("baseline"))
+    joined = now.join(past, [*keys, "string_idx"], "left")
+    return joined.select(*keys, "string_idx", value, "baseline", _r(F.col(value) - F.col("baseline")).alias("change"))
+
+
+def string_history(strings: DataFrame, windows: DataFrame, min_samples: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The strings' rows inside each window, and those of the record before it where that is at least as long.
+
+    ``strings``: system_id, day, string_idx, current_a.  Days unfold to the windows they precede through a
+    join on the system; windows are few a system, and each needs the whole record before it.
+    """
+    inside = in_windows_days(strings, windows)
+    past = strings.join(windows.select("system_id", "window_id", "start_day"), "system_id").where(F.col("day") < F.col("start_day")).drop("start_day")
+    length = lambda f: f.groupBy("system_id", "window_id").agg(F.count_distinct("day").alias("n"))
+    enough = length(past).alias("p").join(length(inside).alias("i"), ["system_id", "window_id"]).where((F.col("p.n") >= F.col("i.n")) & (F.col("p.n") >= min_samples)).select("system_id", "window_id")
+    return inside, past.join(enough, ["system_id", "window_id"], "left_semi")
+
+
+def in_windows_days(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    days = windows.select("system_id", "window_id", F.explode(F.sequence("start_day", "end_day")).alias("day"))
+    return rows.join(days, ["system_id", "day"])

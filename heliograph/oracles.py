@@ -94,6 +94,113 @@ CASES = "c AS (SELECT quality AS truth, (n_chars > 1500)::INTEGER AS predicted F
 DAY_SWEEPS = "(date_diff('day', DATE '2024-01-01', ts::DATE))"
 
 
+def _sky(source: str) -> str:
+    """CTEs that give the rows of ``source`` (with ``ts``) the sun's zenith and azimuth and the clear sky's ``sky``."""
+    import math
+
+    from heliograph.functions.solar import PEREZ, PEREZ_BINS, Site
+
+    site = Site()
+    lat, tilt = f"radians({site.latitude})", f"radians({site.tilt_deg})"
+    f1, f2 = f"exp(-{site.altitude_m} / 8000)", f"exp(-{site.altitude_m} / 1250)"
+    pressure = (1 - 0.0000225577 * site.altitude_m) ** 5.25588
+    c = lambda k: f"([{', '.join(map(repr, PEREZ[k]))}]::DOUBLE[])[bin]"
+    number = " + ".join(f"(clearness >= {b})::INTEGER" for b in PEREZ_BINS)
+    return f"""u1 AS (SELECT *, epoch(ts)::DOUBLE AS s, epoch(ts)::DOUBLE / 86400 - 10957.5 AS n FROM {source}),
+u2 AS (SELECT *, radians(357.528 + 0.9856003 * n) AS g, radians(23.439::DOUBLE - 0.0000004 * n) AS ob FROM u1),
+u3 AS (SELECT *, radians(280.460 + 0.9856474 * n + 1.915 * sin(g) + 0.020 * sin(2 * g)) AS lam FROM u2),
+u4 AS (SELECT *, degrees(atan2(cos(ob) * sin(lam), cos(lam))) AS ra, asin(sin(ob) * sin(lam)) AS de FROM u3),
+u5 AS (SELECT *, radians(15 * (6.697375 + 0.0657098242 * n + (s % 86400) / 3600) + {site.longitude} - ra) AS ha FROM u4),
+u6 AS (SELECT *, degrees(asin(sin(de) * sin({lat}) + cos(de) * cos({lat}) * cos(ha))) AS el FROM u5),
+u7 AS (SELECT *, 90 - (el + CASE WHEN el > -0.56 THEN 3.51561 * (0.1594 + 0.0196 * el + 0.00002 * el * el) / (1 + 0.505 * el + 0.0845 * el * el) ELSE 0 END) AS zen,
+  degrees(atan2(-cos(de) * sin(ha), sin(de) * cos({lat}) - cos(de) * sin({lat}) * cos(ha))) AS az FROM u6),
+u8 AS (SELECT *, radians(zen) AS z, greatest(cos(radians(zen)), 0) AS cz, ({list(site.turbidity)}::DOUBLE[])[month(ts)] AS tl, 2 * pi() * (dayofyear(ts) - 1) / 365 AS dd FROM u7),
+u9 AS (SELECT *, 1366.1 * (1.00011 + 0.034221 * cos(dd) + 0.00128 * sin(dd) + 0.000719 * cos(2 * dd) + 0.000077 * sin(2 * dd)) AS i0,
+  CASE WHEN zen < 90 THEN 1 / (cz + 0.50572 * pow(96.07995 - zen, -1.6364)) END AS air FROM u8),
+v1 AS (SELECT *, {0.0000509 * site.altitude_m + 0.868} * i0 * cz * exp(-{0.0000392 * site.altitude_m + 0.0387} * air * {pressure} * ({f1} + {f2} * (tl - 1))) AS ghi FROM u9),
+v2 AS (SELECT *, CASE WHEN ghi IS NOT NULL THEN least((0.664 + 0.163 / {f1}) * exp(-0.09 * air * {pressure} * (tl - 1)) * i0, greatest(ghi * (1 - (0.1 - 0.2 * exp(-tl)) / (0.1 + 0.882 / {f1})) / nullif(cz, 0), 0)) END AS dni FROM v1),
+v3 AS (SELECT *, ghi - dni * cz AS dhi FROM v2),
+v4 AS (SELECT *, ((dhi + dni) / nullif(dhi, 0) + 1.041 * z * z * z) / (1 + 1.041 * z * z * z) AS clearness, dhi * air / i0 AS delta, greatest(cos(z) * cos({tilt}) + sin(z) * sin({tilt}) * cos(radians(az - {site.azimuth_deg})), 0) AS aoi FROM v3),
+v5 AS (SELECT *, (1 + {number})::INTEGER AS bin FROM v4),
+v6 AS (SELECT *, greatest({c("f11")} + {c("f12")} * delta + {c("f13")} * z, 0) AS near, {c("f21")} + {c("f22")} * delta + {c("f23")} * z AS horizon FROM v5),
+v7 AS (SELECT *, dhi * (0.5 * (1 - near) * (1 + cos({tilt})) + near * aoi / greatest(cz, {math.cos(math.radians(85))}) + horizon * sin({tilt})) AS diffuse FROM v6),
+v AS (SELECT *, coalesce(dni * aoi + CASE WHEN diffuse IS NOT NULL THEN greatest(diffuse, 0) END + ghi * {site.albedo} * (1 - cos({tilt})) / 2, 0) AS sky FROM v7)"""
+
+
+def _history(measure: str, value: str) -> str:
+    """``measure`` of the windows of 60 days beside that of the record before each; {0} is the source, {1} its prefix."""
+    strings = "s0 AS (SELECT 1 AS system_id, l_shipdate::DATE AS day, (l_suppkey % 7 + 1)::INTEGER AS string_idx, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS current_a FROM lineitem GROUP BY 1, 2, 3)"
+    return f"""WITH {strings}, w0 AS (SELECT min(day) AS lo, max(day) AS hi FROM s0),
+w AS (SELECT k::INTEGER AS window_id, lo + (60 * k)::INTEGER AS start_day, lo + (60 * k + 59)::INTEGER AS end_day FROM w0, unnest(range(0, date_diff('day', lo, hi) // 60 + 1)) AS t(k)),
+now AS (SELECT window_id, s0.* FROM s0 JOIN w ON day BETWEEN start_day AND end_day), all_past AS (SELECT window_id, s0.* FROM s0 JOIN w ON day < start_day),
+ok AS (SELECT p.window_id FROM (SELECT window_id, count(DISTINCT day) AS n FROM all_past GROUP BY 1) p JOIN (SELECT window_id, count(DISTINCT day) AS n FROM now GROUP BY 1) i USING (window_id) WHERE p.n >= i.n AND p.n >= 100),
+past AS (SELECT * FROM all_past WHERE window_id IN (SELECT window_id FROM ok)),
+{measure.format("now", "n")}, {measure.format("past", "p")}
+SELECT nr.system_id, nr.window_id, nr.string_idx, nr.{value}, pr.{value} AS baseline, round(nr.{value} - pr.{value}, 6) AS change FROM nr LEFT JOIN pr USING (window_id, string_idx)"""
+
+
+SHARE_MEASURE = """{1}t AS (SELECT *, sum(current_a) OVER (PARTITION BY window_id, day) AS total FROM {0}),
+{1}m AS (SELECT window_id, median(total) AS middle FROM (SELECT DISTINCT window_id, day, total FROM {1}t) GROUP BY 1),
+{1}x AS (SELECT system_id, window_id, string_idx, avg(current_a / total) AS share, count(*) OVER (PARTITION BY window_id) AS strings FROM {1}t JOIN {1}m USING (window_id) WHERE total > greatest(0.2 * middle, 1e-6) GROUP BY 1, 2, 3),
+{1}r AS (SELECT system_id, window_id, string_idx, round(share, 6) AS mean_share FROM {1}x WHERE strings >= 2)"""
+LEVEL_MEASURE = """{1}m AS (SELECT window_id, day, median(current_a) AS reference FROM {0} GROUP BY 1, 2),
+{1}r AS (SELECT system_id, window_id, string_idx, round(CASE WHEN min(current_a) = max(current_a) THEN 0 ELSE regr_slope(current_a, reference) END, 6) AS level FROM {0} JOIN {1}m USING (window_id, day) GROUP BY 1, 2, 3)"""
+
+
+def _judged(longest: int) -> str:
+    side = lambda c: f"CASE {c} % 3 WHEN 0 THEN 'fault' WHEN 1 THEN 'by_design' ELSE 'recoverable' END"
+    return f"""(SELECT *, (NOT truth_settled AND NOT settled) AS neither, (truth_settled AND settled AND category = truth_category) OR (NOT truth_settled AND NOT settled) AS category_correct,
+  (truth_settled AND settled AND cause = truth_cause) OR (NOT truth_settled AND NOT settled) AS cause_correct, truth_category = 'by_design' AS is_lookalike, settled AND category IN ('fault', 'recoverable') AS alarm
+  FROM (SELECT doc_id AS case_id, doc_id % 2 AS split, {side("doc_id")} AS truth_category, quality::VARCHAR AS truth_cause, toxic = 0 AS truth_settled, {side(f"(n_chars + {longest})")} AS category,
+    (n_chars > {longest})::INTEGER::VARCHAR AS cause, n_chars % 7 <> 0 AS settled FROM labels JOIN (SELECT doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1) USING (doc_id)))"""
+
+
+def _channels() -> str:
+    raw = "poa AS irradiance_poa_o_1, poa / 100 AS irradiance_poa_o_2, ambient AS temperature_ambient_o_1, module AS temperature_module_o_1, 292.0::DOUBLE AS wind_speed_o_1, wind AS wind_speed_o_2, ac AS ac_power_inv_1, dc AS dc_power_inv_1, NULL::DOUBLE AS dc_power_inv_2"
+    pairs = [("poa_wm2", "irradiance_poa_o_1", 300, 1500), ("poa_wm2", "irradiance_poa_o_2", 300, 1500), ("temp_ambient_c", "temperature_ambient_o_1", 5, 60), ("temp_module_c", "temperature_module_o_1", 20, 95), ("wind_speed_ms", "wind_speed_o_1", 1, 45),
+             ("wind_speed_ms", "wind_speed_o_2", 1, 45), ("ac_power_kw", "ac_power_inv_1", 1, 100000), ("dc_power_kw", "dc_power_inv_1", 1, 100000), ("dc_power_kw", "dc_power_inv_2", 1, 100000)]
+    one = " UNION ALL ".join(f"SELECT '{q}' AS quantity, '{c}' AS \"column\", count({c}) AS non_null, max({c})::DOUBLE AS highest, {lo} AS low, {hi} AS high FROM raw" for q, c, lo, hi in pairs)
+    return f"""WITH {_panel()}, raw AS (SELECT {raw} FROM p), c AS ({one}),
+j AS (SELECT *, CASE WHEN non_null = 0 THEN 'no values' WHEN highest < low THEN 'wrong units: maximum below the band' WHEN highest > high THEN 'wrong units: maximum above the band' END AS reason FROM c)
+SELECT quantity, "column", non_null, round(highest, 6) AS highest, reason, reason IS NULL AND row_number() OVER (PARTITION BY quantity ORDER BY reason IS NOT NULL, non_null DESC, "column") = 1 AS chosen FROM j"""
+
+
+def _sun_sql() -> dict[str, str]:
+    kw = "system_id, window_id"
+    return {
+        "night_offset": f"""WITH {_panel()}, {_sky("p")} SELECT {kw}, count(*) AS night_intervals, round(median(poa), 4) AS median_night_irradiance_wm2, round(max(poa), 4) AS max_night_irradiance_wm2, round(median(ac), 4) AS median_night_ac_kw,
+  round(max(ac), 4) AS max_night_ac_kw, count(*) FILTER (ac > 1.0) AS night_generation_intervals FROM v WHERE zen > 100 GROUP BY {kw}""",
+        "clearsky_consistency": f"""WITH {_panel()}, {_sky("p")}, d AS (SELECT {kw}, on_day, median(poa / sky) AS ratio, count(*) AS samples FROM v WHERE sky > 300 AND poa IS NOT NULL GROUP BY ALL),
+hh AS (SELECT *, row_number() OVER (PARTITION BY {kw} ORDER BY on_day) <= count(*) OVER (PARTITION BY {kw}) // 2 AS first FROM d),
+q AS (SELECT {kw}, quantile_cont(ratio, 0.9) AS c, coalesce(quantile_cont(ratio, 0.9) FILTER (first), quantile_cont(ratio, 0.9)) AS a, quantile_cont(ratio, 0.9) FILTER (NOT first) AS b, count(*) AS days_compared, sum(samples)::BIGINT AS samples_used,
+  count(*) FILTER (first AND ratio >= 0.85) AS clear_days_first_half, count(*) FILTER (NOT first AND ratio >= 0.85) AS clear_days_second_half FROM hh GROUP BY {kw})
+SELECT {kw}, round(c, 6) AS clearest_day_ratio, round(greatest(1 - c, 0), 6) AS shortfall_vs_clearsky, round(a, 6) AS ratio_first_half, round(b, 6) AS ratio_second_half, round(b - a, 6) AS ratio_change_across_window,
+  round((b - a) / days_compared, 6) AS ratio_change_per_day, days_compared, samples_used, clear_days_first_half, clear_days_second_half FROM q""",
+        "utc_offset_curve": f"""WITH {_panel()}, o AS (SELECT system_id, poa, half, ts - to_seconds(half * 1800) AS ts FROM p, unnest(range(-24, 29)) AS t(half) WHERE poa IS NOT NULL), {_sky("o")}
+SELECT system_id, half / 2 AS offset_hours, round(covar_pop(poa, sky) / (stddev_pop(poa) * stddev_pop(sky)), 6) AS correlation FROM v GROUP BY system_id, half""",
+        "flatline": f"""WITH {_panel()}, l AS (SELECT {kw}, ts, unnest(['poa_wm2', 'temp_module_c', 'wind_speed_ms']) AS channel, unnest([CASE WHEN poa > 50 THEN poa END, round(module, -1), round(wind, 0)]) AS value FROM p),
+f AS (SELECT *, coalesce(value = lag(value) OVER (PARTITION BY {kw}, channel ORDER BY ts), false) AS same FROM l), i AS (SELECT * FROM {_islands("f", kw + ", channel", "NOT same")}),
+r AS (SELECT *, count(value) OVER (PARTITION BY {kw}, channel, island) AS length FROM i) SELECT {kw}, channel, round(count(*) FILTER (length >= 3) / count(*), 6) AS flat_share, max(length) AS longest_run FROM r GROUP BY ALL""",
+        "string_balance_history": _history(SHARE_MEASURE, "mean_share"),
+        "string_profiles_history": _history(LEVEL_MEASURE, "level"),
+        "channel_resolution": _channels(),
+        "ingest_normalised": """WITH r AS (SELECT date_trunc('minute', ts) AS t, value, row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY event_id) AS k FROM events),
+m AS (SELECT floor(epoch(t) / 900)::BIGINT * 900 AS s, CASE WHEN value - 30 >= -20 THEN greatest(value - 30, 0) END AS poa, CASE WHEN value - 10 >= -5 THEN value - 10 END AS ac FROM r WHERE k = 1),
+b AS (SELECT s, avg(poa) AS poa, avg(ac) AS ac FROM m GROUP BY 1), spine AS (SELECT unnest(range((SELECT min(s) FROM b), (SELECT max(s) FROM b) + 1, 900)) AS s)
+SELECT 1 AS system_id, s + 18000 AS second, round(poa, 6) AS poa_wm2, round(ac, 6) AS ac_power_kw FROM spine LEFT JOIN b USING (s)""",
+        "case_report": f"""SELECT split, count(*) AS cases, round(count(*) FILTER (category_correct) / count(*), 4) AS category_accuracy, round(count(*) FILTER (cause_correct) / count(*), 4) AS cause_accuracy,
+  round(count(*) FILTER (is_lookalike AND alarm) / nullif(count(*) FILTER (is_lookalike), 0), 4) AS false_alarm_rate, count(*) FILTER (is_lookalike) AS look_alike_cases,
+  round(count(*) FILTER (truth_category = 'fault' AND NOT alarm) / nullif(count(*) FILTER (truth_category = 'fault'), 0), 4) AS missed_fault_rate, round(count(*) FILTER (neither) / nullif(count(*) FILTER (NOT truth_settled), 0), 4) AS correct_abstention_rate,
+  count(*) FILTER (NOT truth_settled) AS unresolvable_cases, count(*) FILTER (truth_settled AND NOT settled) AS wrong_abstentions FROM {_judged(1500)} GROUP BY split""",
+        "disagreements": f"""SELECT a.case_id, a.cause AS cause_a, a.cause_correct AS correct_a, b.cause AS cause_b, b.cause_correct AS correct_b,
+  CASE WHEN a.cause_correct = b.cause_correct THEN 'neither' WHEN a.cause_correct THEN 'a' ELSE 'b' END AS winner FROM {_judged(1500)} a JOIN {_judged(400)} b USING (case_id) WHERE a.cause <> b.cause""",
+        "repeated_runs": """WITH r AS (SELECT event_type, user_id % 5 AS run, sum(value::DECIMAL(18,4))::DOUBLE / count(*) AS score FROM events GROUP BY 1, 2)
+SELECT event_type, count(*) AS runs, round(avg(score), 4) AS mean, round(coalesce(stddev_samp(score), 0), 4) AS deviation FROM r GROUP BY 1""",
+        "trace_profile": """WITH b AS (SELECT conv_id % 2 AS part, role AS node, count(*) AS calls, sum(length(coalesce(text, '')))::BIGINT AS ms FROM conversations GROUP BY 1, 2)
+SELECT part, node, calls, round(ms / 1000, 3) AS seconds, round(ms / sum(ms) OVER (PARTITION BY part), 4) AS share, round(calls * 0.001::DOUBLE, 6) AS cost_usd, calls AS tokens FROM b""",
+    }
+
+
 def _sql() -> dict[str, str]:
     from heliograph.operators.retrieval import STOP_WORDS
 
@@ -177,4 +284,4 @@ r AS (SELECT *, coalesce(tp / nullif(named, 0), 0) AS pr, tp / actual AS re FROM
     }
 
 
-SQL = _sql()
+SQL = _sql() | _sun_sql()

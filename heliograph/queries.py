@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.operators import detect, evaluate, findings, inject, measures, retrieval
-from heliograph.sources import panels
+from heliograph.operators import detect, evaluate, findings, inject, measures, prose, retrieval, sun
+from heliograph.sources import ingest, panels
 from heliograph.sources.panels import in_windows, read, windows_of
 
 KEYS = measures.KEYS
@@ -191,10 +191,126 @@ def split_attempts(spark, sf_dir):
     return evaluate.attempts(trace, "conv_id", "turn", "step").groupBy("conv_id").agg((F.max("attempt") + 1).alias("attempts"), F.count("*").alias("steps"))
 
 
+def clearsky_consistency(spark, sf_dir):
+    return sun.clearsky_consistency(_windowed(spark, sf_dir))
+
+
+def night_offset(spark, sf_dir):
+    return sun.night_offset(_windowed(spark, sf_dir))
+
+
+def utc_offset_curve(spark, sf_dir):
+    return sun.offset_curve(panels.events_hourly(spark, sf_dir).where("poa_wm2 is not null"))
+
+
+def utc_offset(spark, sf_dir):
+    return sun.utc_offset(panels.events_hourly(spark, sf_dir))
+
+
+def flatline(spark, sf_dir):
+    rounded = _windowed(spark, sf_dir).withColumn("temp_module_c", F.round("temp_module_c", -1)).withColumn("wind_speed_ms", F.round("wind_speed_ms", 0))
+    return measures.flatline(rounded, ["poa_wm2", "temp_module_c", "wind_speed_ms"], min_run=3)
+
+
+def string_balance_history(spark, sf_dir):
+    """Each string's mean share in windows of 60 days beside its share over the record before them."""
+    strings = panels.lineitem_strings(spark, sf_dir)
+    now, before = measures.string_history(strings, windows_of(strings, 60, "day"))
+    return measures.against_history(measures.string_balance(now, KEYS), measures.string_balance(before, KEYS), "mean_share", KEYS)
+
+
+def string_profiles_history(spark, sf_dir):
+    strings = panels.lineitem_strings(spark, sf_dir)
+    now, before = measures.string_history(strings, windows_of(strings, 60, "day"))
+    return measures.against_history(measures.string_profiles(now, KEYS), measures.string_profiles(before, KEYS), "level", KEYS)
+
+
+def _raw(spark, sf_dir):
+    """The hourly panel under the names of a raw logger, with rivals in wrong units."""
+    panel = panels.events_hourly(spark, sf_dir)
+    return panel.select(
+        "system_id", "ts", F.col("poa_wm2").alias("irradiance_poa_o_1"), (F.col("poa_wm2") / 100).alias("irradiance_poa_o_2"), F.col("temp_ambient_c").alias("temperature_ambient_o_1"), F.col("temp_module_c").alias("temperature_module_o_1"),
+        (F.lit(292.0)).alias("wind_speed_o_1"), F.col("wind_speed_ms").alias("wind_speed_o_2"), F.col("ac_power_kw").alias("ac_power_inv_1"), F.col("dc_power_kw").alias("dc_power_inv_1"), F.lit(None).cast("double").alias("dc_power_inv_2"),
+    )
+
+
+def channel_resolution(spark, sf_dir):
+    return ingest.resolve(_raw(spark, sf_dir)).withColumn("highest", F.round("highest", 6))
+
+
+def ingest_normalised(spark, sf_dir):
+    """Raw events as logger rows five hours behind UTC: first per instant, masked, in 15-minute means, in UTC."""
+    raw = read(spark, sf_dir, "events").select(F.lit(1).alias("system_id"), "event_id", F.date_trunc("minute", "ts").cast("timestamp").alias("ts"), (F.col("value") - 30).alias("poa_wm2"), (F.col("value") - 10).alias("ac_power_kw"))
+    rows = ingest.resampled(ingest.masked(ingest.first_per_instant(raw, "event_id"), 100.0), ["poa_wm2", "ac_power_kw"])
+    return ingest.to_utc(rows, -5.0).select("system_id", F.unix_timestamp("ts").alias("second"), F.round("poa_wm2", 6).alias("poa_wm2"), F.round("ac_power_kw", 6).alias("ac_power_kw"))
+
+
+def document_chunks(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return prose.chunks(docs, "doc_id").select("id", "chunk_no", "chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def numeric_grounding(spark, sf_dir):
+    """The numerals of assistant turns against those their conversation's users gave."""
+    turns = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    shown = prose.numbers(turns.where("role = 'user'"), "conv_id", mask=False).select("id", "value")
+    return prose.grounding(turns.where("role = 'assistant'"), shown, "conv_id")
+
+
+def retrieval_quality(spark, sf_dir):
+    """BM25 finding each benchmark item's own passages: the documents that hold its first 60 characters."""
+    chunks, queries_ = _texts(spark, sf_dir)
+    hits = retrieval.top(retrieval.bm25(chunks, queries_), 10).select("qid", "id", "rank")
+    relevant = hits.select("qid", "id").distinct().join(chunks, "id").join(queries_.withColumnRenamed("text", "q"), "qid").where(F.contains("text", F.substring("q", 1, 60)))
+    return prose.retrieval_quality(hits, relevant.select("qid", "id", (F.col("qid") % 3).cast("string").alias("kind")))
+
+
+def _judged(spark, sf_dir, longest: int = 1500):
+    """Labels as cases: quality is the category's side, toxic cases are unresolvable; the length of the text predicts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    cases = read(spark, sf_dir, "labels").join(docs, "doc_id")
+    category = lambda c: F.when(c % 3 == 0, "fault").when(c % 3 == 1, "by_design").otherwise("recoverable")
+    return cases.select(
+        F.col("doc_id").alias("case_id"), (F.col("doc_id") % 2).alias("split"), category(F.col("doc_id")).alias("truth_category"), F.col("quality").cast("string").alias("truth_cause"), (F.col("toxic") == 0).alias("truth_settled"),
+        category(F.col("n_chars") + longest).alias("category"), (F.col("n_chars") > longest).cast("int").cast("string").alias("cause"), (F.col("n_chars") % 7 != 0).alias("settled"),
+    )
+
+
+def case_report(spark, sf_dir):
+    return evaluate.report(evaluate.scored(_judged(spark, sf_dir)), ["split"])
+
+
+def disagreements(spark, sf_dir):
+    a, b = (evaluate.scored(_judged(spark, sf_dir, n)) for n in (1500, 400))
+    return evaluate.disagreements(a, b)
+
+
+def repeated_runs(spark, sf_dir):
+    runs = read(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).alias("run"), F.col("value").cast("decimal(18,4)").alias("value"))
+    means = runs.groupBy("event_type", "run").agg((F.sum("value").cast("double") / F.count("*")).alias("score"))
+    return evaluate.repeats(means, ["event_type"], "score")
+
+
+def stratified_subset(spark, sf_dir):
+    return evaluate.stratified(read(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id", 60)
+
+
+def trace_profile(spark, sf_dir):
+    trace = read(spark, sf_dir, "conversations").select((F.col("conv_id") % 2).alias("part"), F.col("role").alias("node"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("latency_ms"), F.lit(0.001).cast("decimal(10,3)").alias("cost_usd"), F.lit(1).cast("long").alias("tokens"))
+    return evaluate.profile(trace, ["part"]).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
+def sweep_findings(spark, sf_dir):
+    ledger = _ledger(spark, sf_dir, 1)
+    return findings.from_verdicts(detect.signals(ledger), detect.verdicts(ledger), F.lit("plant"))
+
+
 NAMES = (
     pr_window, pr_daily, expected_output, time_of_day_profile, dc_to_ac_conversion, temperature_sensor, ac_ceiling, stuck_channels, data_quality, daily_completeness, onset_changepoint, performance_trend,
     soiling_recovery, string_balance, string_profiles, string_onset, trailing_baseline, weather_context, inject_outage, inject_shading, inject_soiling, inject_cap, inject_drift, inject_gap, sweep_signals,
-    rules_verdict, findings_lifecycle, bm25_search, hybrid_search, macro_f1, confusion, split_attempts,
+    rules_verdict, findings_lifecycle, bm25_search, hybrid_search, macro_f1, confusion, split_attempts, clearsky_consistency, night_offset, utc_offset_curve, utc_offset, flatline,
+    string_balance_history, string_profiles_history, channel_resolution, ingest_normalised, document_chunks, numeric_grounding, retrieval_quality, case_report, disagreements, repeated_runs,
+    stratified_subset, trace_profile, sweep_findings,
 )
 
 
