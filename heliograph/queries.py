@@ -258,11 +258,14 @@ def numeric_grounding(spark, sf_dir):
 
 
 def retrieval_quality(spark, sf_dir):
-    """BM25 finding each benchmark item's own passages: the documents that hold its first 60 characters."""
+    """BM25 against the documents that hold an item's first eight words in a row, whether it found them or not."""
     chunks, queries_ = _texts(spark, sf_dir)
     hits = retrieval.top(retrieval.bm25(chunks, queries_), 10).select("qid", "id", "rank")
-    relevant = hits.select("qid", "id").distinct().join(chunks, "id").join(queries_.withColumnRenamed("text", "q"), "qid").where(F.contains("text", F.substring("q", 1, 60)))
-    return prose.retrieval_quality(hits, relevant.select("qid", "id", (F.col("qid") % 3).cast("string").alias("kind")))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    phrase = queries_.select("qid", words.alias("w")).where("size(w) >= 8").select("qid", F.array_join(F.slice("w", 1, 8), " ").alias("phrase"))
+    held = chunks.select("id", words.alias("w")).where("size(w) >= 8").select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("phrase"))
+    relevant = held.join(phrase, "phrase").select("qid", "id", (F.col("qid") % 3).cast("string").alias("kind")).distinct()
+    return prose.retrieval_quality(hits, relevant)
 
 
 def _judged(spark, sf_dir, longest: int = 1500):
