@@ -228,7 +228,7 @@ def trailing_baseline(days: DataFrame, windows: DataFrame, baseline_days: int =
 
 def weather_context(days: DataFrame, windows: DataFrame) -> DataFrame:
     """Insolation against the record's other days of the same day-of-year span (the whole year if it wraps)."""
-    here = days.join(windows, "system_id").where(F.col("day").between(F.col("start_day"), F.col("end_day")))
+    here = in_windows_days(days, windows, "start_day", "end_day")
     span = here.groupBy("system_id", "window_id", "start_day", "end_day").agg(F.min(F.dayofyear("day")).alias("lo"), F.max(F.dayofyear("day")).alias("hi"), F.avg("poa_wm2").alias("mean"), F.count("*").alias("days_in_window"))
     doy = span.select("system_id", "window_id", "start_day", "end_day", "mean", "days_in_window", F.explode(F.sequence("lo", "hi")).alias("doy"))
     others = days.withColumn("doy", F.dayofyear("day")).join(doy, ["system_id", "doy"]).where(~F.col("day").between(F.col("start_day"), F.col("end_day")))
@@ -275,6 +275,6 @@ def string_history(strings: DataFrame, windows: DataFrame, min_samples: int = 10
     return inside, past.join(enough, ["system_id", "window_id"], "left_semi")
 
 
-def in_windows_days(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    days = windows.select("system_id", "window_id", F.explode(F.sequence("start_day", "end_day")).alias("day"))
+def in_windows_days(rows: DataFrame, windows: DataFrame, *carry: str) -> DataFrame:
+    days = windows.select("system_id", "window_id", *carry, F.explode(F.sequence("start_day", "end_day")).alias("day"))
     return rows.join(days, ["system_id", "day"])

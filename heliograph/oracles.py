@@ -284,4 +284,58 @@ r AS (SELECT *, coalesce(tp / nullif(named, 0), 0) AS pr, tp / actual AS re FROM
     }
 
 
-SQL = _sql() | _sun_sql()
+def _ledger(days: int = 7) -> str:
+    """One row of measures a window, put together from the SQL of the measures."""
+    kw = "system_id, window_id"
+    base = _sql() | _sun_sql()
+    of = lambda name: "(" + base[name].replace("// 14)", f"// {days})") + ")"
+    daily = f"""(WITH {_panel(days)}, d AS (SELECT on_day AS day, any_value(window_id) AS window_id, sum(poa) AS poa, sum(ac) AS ac FROM p GROUP BY 1), v AS (SELECT window_id, min(day) AS lo FROM d GROUP BY 1),
+  b AS (SELECT min(day) AS first FROM d), w AS (SELECT window_id, first + (window_id * {days})::INTEGER AS a, first + (window_id * {days} + {days - 1})::INTEGER AS z FROM v, b),
+  j AS (SELECT w.window_id, d.day >= a AS now, d.ac, d.poa FROM d JOIN w ON d.day BETWEEN a - 30 AND z),
+  o AS (SELECT window_id, sum(ac) FILTER (now) / nullif(sum(poa) FILTER (now), 0) AS n, sum(ac) FILTER (NOT now) / nullif(sum(poa) FILTER (NOT now), 0) AS q FROM j GROUP BY 1)
+  SELECT 1 AS system_id, window_id, round(n - q, 6) AS change FROM o WHERE n IS NOT NULL AND q IS NOT NULL)"""
+    trend = f"""(WITH r AS ({_pr(kw + ", on_day", days)}), y AS (SELECT *, (row_number() OVER (PARTITION BY {kw} ORDER BY on_day) - 1)::DOUBLE AS x FROM r WHERE pr_temperature_corrected IS NOT NULL)
+  SELECT {kw}, round(regr_slope(pr_temperature_corrected, x), 9) AS slope_per_day FROM y GROUP BY {kw} HAVING count(*) >= 5)"""
+    strings = f"""(WITH s AS (SELECT 1 AS system_id, ts::DATE AS day, (user_id % 7 + 1)::INTEGER AS string_idx, sum(value::DECIMAL(18,4))::DOUBLE AS current_a,
+  (date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // {days})::INTEGER AS window_id FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL GROUP BY ALL),
+  {SHARES.split(",", 1)[1].partition("GROUP BY 1, 2, 3, 4), ")[2]}, a AS (SELECT {kw}, string_idx, avg(share) AS share FROM sh GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY {kw}) AS n FROM a)
+  SELECT {kw}, max(round(1 - share * n, 6)) AS string_deficit FROM n WHERE n >= 2 GROUP BY {kw})"""
+    join = lambda source, alias: f"LEFT JOIN {source} {alias} USING ({kw})"
+    return f"""(SELECT {kw}, lit_interval_completeness, coverage, pr, data_completeness, deficit_fraction, deficit_second_half - deficit_first_half AS deficit_change, flat_ceiling_share, shape_spread,
+  least(clear_days_first_half, clear_days_second_half) AS clear_days, ratio_change_per_day, shortfall_vs_clearsky, slope_per_day, change, string_deficit
+  FROM {of("data_quality")} a0 {join(of("pr_window"), "a1")} {join(of("expected_output"), "a2")} {join(of("ac_ceiling"), "a3")}
+  {join(f"(SELECT {kw}, max(shape) - min(shape) AS shape_spread FROM {of('time_of_day_profile')} GROUP BY {kw})", "a4")} {join(of("clearsky_consistency"), "a5")} {join(trend, "a6")} {join(daily, "a7")} {join(strings, "a8")})"""
+
+
+def _views_sql() -> dict[str, str]:
+    kw = "system_id, window_id"
+    ledger = _ledger()
+    shown = "lit_interval_completeness coverage pr data_completeness deficit_fraction deficit_change flat_ceiling_share shape_spread clear_days slope_per_day change string_deficit".split()
+    fires = [("data_completeness", "lit_interval_completeness", 0.80, "<"), ("performance_ratio_drop", "change", -0.05, "<"), ("string_imbalance", "string_deficit", 0.22, ">"), ("flat_ceiling", "flat_ceiling_share", 0.02, ">")]
+    signals = " UNION ALL ".join(f"SELECT {kw}, '{n}' AS detector, round({k}, 6) AS value, {t}::DOUBLE AS threshold, round(abs({k} / {t}), 6) AS severity FROM l WHERE {k} {side} {t}" for n, k, t, side in fires)
+    cause = """CASE WHEN coalesce(lit_interval_completeness, 1) < 0.80 OR coalesce(coverage, 1) < 0.80 OR pr IS NULL OR coalesce(data_completeness, 1) < 0.80 THEN 'telemetry_gap'
+  WHEN clear_days >= 3 AND (ratio_change_per_day < -0.004 OR shortfall_vs_clearsky > 0.12) THEN 'sensor_drift' WHEN flat_ceiling_share > 0.02 THEN 'clipping'
+  WHEN string_deficit > 0.22 THEN CASE WHEN shape_spread > 0.25 THEN 'shading' ELSE 'string_outage' END WHEN slope_per_day < -0.0015 OR deficit_change > 0.04 OR deficit_fraction > 0.05 THEN 'soiling' ELSE 'seasonal_temperature_derating' END"""
+    category = "CASE cause WHEN 'telemetry_gap' THEN 'not_the_plant' WHEN 'sensor_drift' THEN 'not_the_plant' WHEN 'shading' THEN 'fault' WHEN 'string_outage' THEN 'fault' WHEN 'soiling' THEN 'recoverable' ELSE 'by_design' END"
+    verdicts = f"SELECT *, {category} AS category FROM (SELECT {kw}, {cause} AS cause FROM {ledger})"
+    actions = "CASE category WHEN 'fault' THEN 'Send someone.' WHEN 'recoverable' THEN 'Schedule maintenance.' WHEN 'by_design' THEN 'Do nothing; the plant works as it was built.' ELSE 'Do nothing to the plant.' END"
+    weekly = _pr("system_id, period").replace("AS window_id FROM p0)", "AS window_id, (date_trunc('week', ts)::DATE + 6)::DATE AS period FROM p0)")
+    words = lambda c: f"unnest(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda x: length(x) > 3)))"
+    return {
+        "measure_ledger": f"SELECT {kw}, {', '.join(f'round({c}, 5) AS {c}' for c in shown)} FROM {ledger}",
+        "sweep_signals": f"WITH l AS MATERIALIZED (SELECT * FROM {ledger}) {signals}",
+        "rules_verdict": verdicts,
+        "sweep_findings": f"WITH l AS MATERIALIZED (SELECT * FROM {ledger}), g AS ({signals}) SELECT {kw}, detector, 'plant::' || cause AS identity, category, cause, severity, {actions} AS recommended_action FROM g JOIN ({verdicts}) USING ({kw})",
+        "recent_rows": f"WITH {_panel()} SELECT system_id, ts, round(ac, 4) AS ac_power_kw, round(poa, 4) AS poa_wm2 FROM p QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY ts DESC) <= 400",
+        "pr_weekly": f"SELECT system_id, period, pr, pr_temperature_corrected, energy_kwh, data_completeness, data_completeness < 0.5 AS shaded FROM ({weekly})",
+        "string_map": f"WITH {STRINGS}, t AS (SELECT *, sum(current_a) OVER (PARTITION BY day) AS total FROM s), m AS (SELECT median(total) AS middle FROM (SELECT DISTINCT day, total FROM t)) SELECT system_id, day, string_idx, round(current_a / total, 6) AS share FROM t, m WHERE total > greatest(0.2 * middle, 1e-6)",
+        "expected_scatter": f"WITH {_panel()}, {EXPECTED}, n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS k, greatest(count(*) OVER () // 200, 1) AS stride FROM x WHERE expected > 1 AND ac IS NOT NULL) SELECT system_id, ts, round(expected, 4) AS expected_kw, round(ac, 4) AS ac_power_kw FROM n WHERE k % stride = 0",
+        "gap_calendar": f"WITH {_panel()}, c AS (SELECT system_id, on_day AS day, round(count(ac) / count(*), 6) AS completeness FROM p GROUP BY ALL) SELECT *, CASE WHEN completeness <= 0 THEN 'missing' WHEN completeness < 0.5 THEN 'poor' WHEN completeness < 0.95 THEN 'partial' ELSE 'complete' END AS band FROM c",
+        "plant_summary": f"WITH {_panel()} SELECT system_id, epoch(min(ts))::BIGINT AS first_second, epoch(max(ts))::BIGINT AS last_second, count(*) AS intervals, round(max(ac), 4) AS peak_ac_kw FROM p GROUP BY 1",
+        "latest_plan": "SELECT conv_id, max(turn) AS step_index, arg_max(text, turn) AS plan FROM conversations WHERE role = 'assistant' GROUP BY 1",
+        "knowledge_match": f"""WITH a AS (SELECT item_id AS qid, {words("text")} AS word FROM benchmark), k AS (SELECT conv_id * 1000 + turn AS key, {words("concat_ws(' ', conv_id * 1000 + turn, text)")} AS word FROM conversations),
+o AS (SELECT qid, key, count(*) AS overlap FROM a JOIN k USING (word) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, key) AS rank FROM o) SELECT qid, key, overlap, rank::INTEGER AS rank FROM r WHERE rank <= 6""",
+    }
+
+
+SQL = _sql() | _sun_sql() | _views_sql()

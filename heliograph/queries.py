@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.operators import detect, evaluate, findings, inject, measures, prose, retrieval, sun
+from heliograph.operators import detect, evaluate, findings, inject, knowledge, measures, prose, retrieval, sun, views
 from heliograph.sources import ingest, panels
 from heliograph.sources.panels import in_windows, read, windows_of
 
@@ -135,17 +135,42 @@ def inject_gap(spark, sf_dir):
     return _injected(inject.telemetry_gap(panels.events_hourly(spark, sf_dir), _inside()))
 
 
-def _ledger(spark, sf_dir, days: int) -> DataFrame:
-    rows = _windowed(spark, sf_dir, days)
-    return measures.data_quality(rows).join(measures.performance_ratio(rows).select(*KEYS, "pr", "data_completeness"), KEYS, "left").join(measures.expected_output(rows).select(*KEYS, "deficit_fraction"), KEYS, "left").join(measures.ac_ceiling(rows).select(*KEYS, "flat_ceiling_share"), KEYS, "left")
+def _ledger(spark, sf_dir, days: int = 7) -> DataFrame:
+    """One wide row of measures for each window: all that the detectors and rules ask for."""
+    panel = panels.events_hourly(spark, sf_dir)
+    windows = windows_of(panel, days)
+    rows = in_windows(panel, windows)
+    by_day = panel.groupBy("system_id", F.to_date("ts").alias("day")).agg(F.sum("poa_wm2").alias("poa_wm2"), F.sum("ac_power_kw").alias("ac_power_kw"))
+    daily_pr = measures.performance_ratio(rows, keys=[*KEYS, "on_day"])
+    balance = measures.string_balance(measures.in_windows_days(panels.events_strings(spark, sf_dir), windows), KEYS)
+    sky = sun.clearsky_consistency(rows)
+    parts = (
+        measures.performance_ratio(rows).select(*KEYS, "pr", "data_completeness"),
+        measures.expected_output(rows).select(*KEYS, "deficit_fraction", (F.col("deficit_second_half") - F.col("deficit_first_half")).alias("deficit_change")),
+        measures.ac_ceiling(rows, flatness=0.05, min_run=1).select(*KEYS, "flat_ceiling_share"),
+        measures.time_of_day_profile(rows).groupBy(*KEYS).agg((F.max("shape") - F.min("shape")).alias("shape_spread")),
+        sky.select(*KEYS, F.least("clear_days_first_half", "clear_days_second_half").alias("clear_days"), "ratio_change_per_day", "shortfall_vs_clearsky"),
+        measures.trend(daily_pr, "pr_temperature_corrected", KEYS, order="on_day").select(*KEYS, "slope_per_day"),
+        measures.trailing_baseline(by_day, windows).select(*KEYS, "change"), measures.weather_context(by_day, windows).select(*KEYS, "relative_to_norm"),
+        balance.groupBy(*KEYS).agg(F.max("below_even").alias("string_deficit")),
+    )
+    ledger = measures.data_quality(rows)
+    for part in parts:
+        ledger = ledger.join(part, KEYS, "left")
+    return ledger
+
+
+def measure_ledger(spark, sf_dir):
+    wanted = "lit_interval_completeness coverage pr data_completeness deficit_fraction deficit_change flat_ceiling_share shape_spread clear_days slope_per_day change string_deficit"
+    return _ledger(spark, sf_dir).select(*KEYS, *(F.round(c, 5).alias(c) for c in wanted.split()))
 
 
 def sweep_signals(spark, sf_dir):
-    return detect.signals(_ledger(spark, sf_dir, 1))
+    return detect.signals(_ledger(spark, sf_dir))
 
 
 def rules_verdict(spark, sf_dir):
-    return detect.verdicts(_ledger(spark, sf_dir, 1))
+    return detect.verdicts(_ledger(spark, sf_dir))
 
 
 def findings_lifecycle(spark, sf_dir):
@@ -304,16 +329,55 @@ def trace_profile(spark, sf_dir):
 
 
 def sweep_findings(spark, sf_dir):
-    ledger = _ledger(spark, sf_dir, 1)
+    ledger = _ledger(spark, sf_dir)
     return findings.from_verdicts(detect.signals(ledger), detect.verdicts(ledger), F.lit("plant"))
 
 
+def recent_rows(spark, sf_dir):
+    return views.recent(panels.events_hourly(spark, sf_dir))
+
+
+def pr_weekly(spark, sf_dir):
+    return views.pr_series(panels.events_hourly(spark, sf_dir), "1W")
+
+
+def string_map(spark, sf_dir):
+    return views.string_map(panels.lineitem_strings(spark, sf_dir))
+
+
+def expected_scatter(spark, sf_dir):
+    return views.scatter(panels.events_hourly(spark, sf_dir), points=200)
+
+
+def gap_calendar(spark, sf_dir):
+    return views.gap_calendar(panels.events_hourly(spark, sf_dir))
+
+
+def plant_summary(spark, sf_dir):
+    return views.plant_summary(panels.events_hourly(spark, sf_dir))
+
+
+def latest_plan(spark, sf_dir):
+    return views.latest_plan(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "role = 'assistant'")
+
+
+def knowledge_match(spark, sf_dir):
+    """Benchmark items as free-text causes, conversation turns as the signatures they may name."""
+    phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit(0).alias("phrase_no"), F.col("text").alias("phrase"))
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    return knowledge.match(phrases, turns.select("key", F.col("key").alias("position"), F.col("text").alias("plain_name")))
+
+
+def rule_lint(spark, sf_dir):
+    return knowledge.rule_like(read(spark, sf_dir, "documents"), "doc_id")
+
+
 NAMES = (
     pr_window, pr_daily, expected_output, time_of_day_profile, dc_to_ac_conversion, temperature_sensor, ac_ceiling, stuck_channels, data_quality, daily_completeness, onset_changepoint, performance_trend,
     soiling_recovery, string_balance, string_profiles, string_onset, trailing_baseline, weather_context, inject_outage, inject_shading, inject_soiling, inject_cap, inject_drift, inject_gap, sweep_signals,
     rules_verdict, findings_lifecycle, bm25_search, hybrid_search, macro_f1, confusion, split_attempts, clearsky_consistency, night_offset, utc_offset_curve, utc_offset, flatline,
     string_balance_history, string_profiles_history, channel_resolution, ingest_normalised, document_chunks, numeric_grounding, retrieval_quality, case_report, disagreements, repeated_runs,
-    stratified_subset, trace_profile, sweep_findings,
+    stratified_subset, trace_profile, sweep_findings, measure_ledger, recent_rows, pr_weekly, string_map, expected_scatter, gap_calendar, plant_summary, latest_plan, knowledge_match, rule_lint,
 )
 
 

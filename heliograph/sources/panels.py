@@ -45,6 +45,13 @@ def lineitem_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(F.lit(1).alias("system_id"), F.to_date("l_shipdate").alias("day"), index).agg(exact_sum(F.col("l_quantity")).alias("current_a"))
 
 
+def events_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long form of the signup values by user group, as per-string currents."""
+    index = (F.col("user_id") % STRINGS + 1).cast("int").alias("string_idx")
+    rows = read(spark, sf_dir, "events").where("event_type = 'signup' and user_id is not null")
+    return rows.groupBy(F.lit(1).alias("system_id"), F.to_date("ts").alias("day"), index).agg(exact_sum(F.col("value")).alias("current_a"))
+
+
 def windows_of(panel: DataFrame, days: int, time: str = "ts") -> DataFrame:
     """Consecutive windows of whole days over each system's record: window_id, start_day, end_day (inclusive)."""
     span = panel.groupBy("system_id").agg(F.to_date(F.min(time)).alias("lo"), F.to_date(F.max(time)).alias("hi"))
