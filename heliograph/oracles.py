@@ -338,4 +338,25 @@ o AS (SELECT qid, key, count(*) AS overlap FROM a JOIN k USING (word) GROUP BY 1
     }
 
 
-SQL = _sql() | _sun_sql() | _views_sql()
+def _hybrid_sql() -> str:
+    """BM25 and 4-gram cosine over the conversations, the best 30 of each fused by rank, then reranked."""
+    from heliograph.operators.retrieval import STOP_WORDS
+
+    stop = "string_split('" + " ".join(STOP_WORDS) + "', ' ')"
+    terms = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: NOT list_contains({stop}, x))"
+    grams = lambda source, key: f"(SELECT {key}, g, count(*) AS c FROM (SELECT {key}, unnest(list_transform(range(1, length(t) - 2), lambda i: substring(t, i, 4))) AS g FROM (SELECT {key}, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM {source})) GROUP BY ALL)"
+    best = lambda name: f"SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM {name} QUALIFY rank <= 30"
+    return f"""WITH d AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text FROM conversations), q AS (SELECT item_id AS qid, coalesce(text, '') AS text FROM benchmark),
+dt AS (SELECT id, {terms("text")} AS t FROM d), qt AS (SELECT qid, {terms("text")} AS t FROM q), ln AS (SELECT id, greatest(len(t), 1) AS length FROM dt), wh AS (SELECT count(*) AS n, avg(length) AS mean FROM ln),
+qk AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest(t) AS term FROM qt) GROUP BY ALL), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM dt) WHERE term IN (SELECT term FROM qk) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT qid, id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM tf JOIN df USING (term) JOIN ln USING (id) JOIN qk USING (term), wh GROUP BY ALL),
+dg AS {grams("d", "id")}, qg AS {grams("q", "qid")}, dn AS (SELECT id, sqrt(sum(c * c)) AS dn FROM dg GROUP BY 1), qn AS (SELECT qid, sqrt(sum(c * c)) AS qn FROM qg GROUP BY 1),
+dot AS (SELECT qid, id, sum(dg.c * qg.c) AS dot FROM dg JOIN qg USING (g) GROUP BY ALL), co AS (SELECT qid, id, dot / (dn * qn) AS score FROM dot JOIN dn USING (id) JOIN qn USING (qid)),
+fu AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM ({best("bm")} UNION ALL {best("co")}) GROUP BY ALL), fr AS ({best("fu")}),
+sc AS (SELECT fr.qid, fr.id, 2 * coalesce(len(list_intersect(list_distinct(qt.t), dt.t)) / nullif(len(list_distinct(qt.t)), 0), 0) + CASE WHEN contains(lower(d.text), lower(q.text)) THEN 1.5 ELSE 0 END + 1.0::DOUBLE / rank AS score
+  FROM fr JOIN d USING (id) JOIN dt USING (id) JOIN q USING (qid) JOIN qt USING (qid)),
+re AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc) SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM re WHERE rank <= 10"""
+
+
+SQL = _sql() | _sun_sql() | _views_sql() | {"hybrid_search": _hybrid_sql()}
