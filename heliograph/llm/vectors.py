@@ -1,8 +1,9 @@
 """Embedding near-duplicates with a forest of random-projection trees.
 
 Every tree splits by one random direction a level, at the median of each node; vectors within
-``SPILL`` of a threshold go to both sides.  Thresholds come from a sample of at most ``SAMPLE``
-vectors; every vector is routed, and all vectors that share a leaf are compared by exact cosine in
+``spill`` of a threshold go to both sides.  A node where that takes ``HALT`` of the rows or more is
+not split: there links straddle a threshold too often, and splitting saves few comparisons, so
+recall would fall with every level.  Thresholds come from a sample of at most ``SAMPLE`` vectors; every vector is routed, and all vectors that share a leaf are compared by exact cosine in
 double precision.  Leaves of more than ``PIECE`` vectors are dealt into pieces, and every pair of
 pieces meets, so no task holds more than two pieces and nothing is capped.
 
@@ -34,6 +35,7 @@ from .components import components
 THRESHOLD = 0.9
 TREES, LEAF, SPILL, MAX_DEPTH = 8, 512, 0.02, 16
 SAMPLE, PIECE = 20_000, 2048
+HALT, JUDGED = 0.3, 64
 
 
 def usable(v: object) -> np.ndarray | None:
@@ -57,9 +59,18 @@ def directions(tree: int, depth: int, size: int) -> np.ndarray:
     return (r / np.linalg.norm(r, axis=1, keepdims=True)).T
 
 
+def spill(size: int) -> float:
+    """``SPILL`` at 64 dimensions; projections of a given distance shrink with the root of the size."""
+    return SPILL * math.sqrt(64 / size)
+
+
 def fit_tree(x: np.ndarray, tree: int, depth: int) -> list[np.ndarray]:
-    """Thresholds of each level's nodes, as medians of the sample."""
+    """Thresholds of each level's nodes, as medians of the sample; infinite where a node isn't split.
+
+    A node with fewer than ``JUDGED`` rows of the sample is judged by its nearest ancestor with as many.
+    """
     levels, node, p = [], np.zeros(len(x), np.int64), x @ directions(tree, depth, x.shape[1])
+    judges, halted = [np.arange(len(x))], np.zeros(1, bool)
     for level in range(depth):
         cuts = np.zeros(1 << level)
         order = np.lexsort((p[:, level], node))
@@ -68,8 +79,14 @@ def fit_tree(x: np.ndarray, tree: int, depth: int) -> list[np.ndarray]:
         for k, end in enumerate(ends):
             if end > start:
                 cuts[k] = p[order[(start + end) // 2], level]
+            if end - start >= JUDGED:
+                judges[k] = order[start:end]
+            seen = p[judges[k], level]
+            halted[k] |= (np.abs(seen - np.median(seen)) <= spill(x.shape[1])).mean() >= HALT
             start = end
+        cuts[halted] = np.inf
         levels.append(cuts)
+        judges, halted = [j for j in judges for _ in range(2)], np.repeat(halted, 2)
         node = node * 2 + (p[:, level] > cuts[node])
     return levels
 
@@ -77,10 +94,10 @@ def fit_tree(x: np.ndarray, tree: int, depth: int) -> list[np.ndarray]:
 def route(x: np.ndarray, tree: int, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and leaf numbers, one for each leaf that a row reaches."""
     p = x @ directions(tree, len(levels), x.shape[1])
-    row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    row, node, wide = np.arange(len(x)), np.zeros(len(x), np.int64), spill(x.shape[1])
     for level, cuts in enumerate(levels):
         off = p[row, level] - cuts[node]
-        left, right = off <= SPILL, off > -SPILL
+        left, right = off <= wide, off > -wide
         row, node = np.concatenate((row[left], row[right])), np.concatenate((node[left] * 2, node[right] * 2 + 1))
     return row, node
 

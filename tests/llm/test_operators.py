@@ -124,6 +124,35 @@ def test_vectors(spark):
     assert got[3]["component_id"] == 0 and all(got[i]["n_links"] == 0 and got[i]["kept"] for i, _ in odd)
 
 
+def hot_ball(n, rng):
+    """A third of the vectors in one ball whose pairs have cosines about 0.91, the rest spread out."""
+    centre = rng.standard_normal(64) / 8
+    x = np.concatenate([centre + 0.039 * rng.standard_normal((n // 3, 64)), rng.standard_normal((n - n // 3, 64))])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("depth", [8, 11, 14])
+def test_vectors_recall_at_depth(depth):
+    x = hot_ball(18_000, np.random.default_rng(5))
+    ball, met = x[:400], np.zeros((400, 400), bool)
+    for tree in range(vectors.TREES):
+        row, leaf = vectors.route(ball, tree, vectors.fit_tree(x, tree, depth))
+        inside = np.zeros((400, len(names := np.unique(leaf))), np.float32)
+        inside[row, np.searchsorted(names, leaf)] = 1
+        met |= inside @ inside.T > 0
+    linked = np.triu(ball @ ball.T >= vectors.THRESHOLD, 1)
+    assert linked.sum() > 10_000 and met[linked].mean() >= 0.99
+
+
+def test_vectors_hot_ball(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAF", 4)  # depth 10 on few rows
+    x = hot_ball(3000, np.random.default_rng(6))
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    truth = brute_links(x)
+    counts = got["n_links"].to_numpy()
+    assert (counts <= truth).all() and counts.sum() >= 0.99 * truth.sum()
+
+
 def test_scoring(spark, docs, odd):
     for frame in (docs, odd):
         rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b"\n"]) for r in frame.collect()]
