@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 K1, B, RRF_K = 1.5, 0.75, 60
 
 # Words that carry no meaning in queries.
-STOP_WORDS = "a an and are as at be been but by for from had has have in is it its not of on or that the their there these this to was were what when which will with would".split()
+STOP_WORDS = "a an and are as at be been but by can could do does for from had has have if in into is it its may more most no not of on or that the their then there these they this to was were what when which while who will with would".split()
 
 
 def tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliograph.functions.solar import Site, with_clearsky, with_sun
-from heliograph.operators import evaluate, findings, prose, sun
+from heliograph.operators import evaluate, findings, prose, retrieval, sun
 from heliograph.sources import ingest
 
 
@@ -131,3 +131,12 @@ def test_agency(spark):
     rows = [("s", None, ["a", "b"], [], 2, 0, 1.0, 10), ("s", None, ["a", "b"], ["b"], 2, 1, 2.0, 30), ("s", None, ["a"], [], 3, 3, 9.0, 99), ("s", "error", ["x"], [], 1, 0, 7.0, 70)]
     got = evaluate.agency(spark.createDataFrame(rows, schema), ["split"]).first()
     assert (got["runs"], got["trajectories"], got["unplanned_rate"], got["median_cost_usd"], got["median_latency_ms"]) == (3, 2, 0.2, 2.0, 30)
+
+
+def test_stop_words(spark):
+    """The 52 words of the survey's R1 (src/rag/index.py of the reference), written out on their own."""
+    listed = """a an and are as at be been but by can could do does for from had has have if in into is it its may more
+    most no not of on or that the their then there these they this to was were what when which while who will with would""".split()
+    assert len(listed) == 52 and sorted(retrieval.STOP_WORDS) == listed
+    row = spark.createDataFrame([("Can they do more while it MAY rain, or does no one know who could?",)], "text string").select(retrieval.tokens(F.col("text")).alias("t")).first()
+    assert row["t"] == ["rain", "one", "know"]
