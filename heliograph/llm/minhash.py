@@ -8,14 +8,15 @@ coordinates concentrates around the Jaccard similarity.
 *Banding.*  ``BANDS`` bands of ``ROWS`` coordinates; documents meeting in a band are candidates.  At a
 similarity of 0.85 a pair meets nowhere with probability (1 - 0.85^4)^25, below 1e-8; at 0.8, 2e-6.
 
-*From candidates to links.*  Documents of one shingle set are one class, seen through its smallest
-id.  In a band bucket classes whose sketches might reach the threshold are chained into clusters
+*From candidates to links.*  Documents of one shingle set are one class, named by the hash of the
+set and seen through its smallest id.  In a band bucket classes whose sketches might reach the threshold are chained into clusters
 (a spanning forest, never all pairs); the full shingle sets of a cluster then meet, split into blocks
 of ``BLOCK`` members so that no task holds more than two blocks, and are compared until each
 block pair has nothing left that isn't already connected.  Only verified links count.
 
 Defined results.  A null, empty or blank text has the empty set: n_shingles 0, linked with nothing.
-Repeated rows with one id are one document.  Ties go to the smallest id.
+Rows that repeat id and text are one document; different texts under one id are judged each on its
+own set.  Ties go to the smallest id, null ids last, then to the smaller md5 of the text.
 """
 
 from __future__ import annotations
@@ -88,8 +89,22 @@ def sketch(s: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return out
 
 
+def _md5() -> F.Column:
+    """16 bytes that tell the texts of one id apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def _first() -> F.Column:
+    """The representative of rows: smallest id, null ids last, then the smaller md5."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "md5"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> F.Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["md5"] == b["md5"])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (128 bits of the set), sketch (low 16 bits of each coordinate), bands."""
+    """doc_id, md5 of the text, n_shingles, class (128 bits of the set), sketch (low 16 bits of each coordinate), bands."""
     ship(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
 
@@ -97,18 +112,18 @@ def signatures(docs: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, md5, text in zip(batch["doc_id"], batch["md5"], batch["text"], strict=True):
                 s = shingles(text, hashes)
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, md5, 0, None, None, None))
                     continue
                 full = sketch(s)
                 bands = full[: BANDS * ROWS].reshape(BANDS, ROWS)
                 keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(bands)]
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), full.astype(np.uint16).tobytes(), keys))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "sketch", "bands"])
+                rows.append((doc_id, md5, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), full.astype(np.uint16).tobytes(), keys))
+            yield pd.DataFrame(rows, columns=["doc_id", "md5", "n_shingles", "class", "sketch", "bands"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, n_shingles long, class binary, sketch binary, bands array<long>")
+    return docs.select("doc_id", _md5().alias("md5"), "text").mapInPandas(run, f"doc_id {id_type}, md5 binary, n_shingles long, class binary, sketch binary, bands array<long>")
 
 
 def chain(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int = PERCENT) -> list[tuple]:
@@ -117,7 +132,7 @@ def chain(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int
     That lies six standard deviations below the threshold, so no link is lost here.
     """
     least = percent / 100 - 0.25
-    order = np.lexsort((ids,))
+    order = np.argsort(ids, kind="stable")
     ids, sizes, sketches = ids[order], sizes[order], sketches[order]
     forest = Forest(len(ids))
     for i in range(len(ids)):
@@ -168,27 +183,26 @@ def verify(ids: list, sets: list[np.ndarray], percent: int = PERCENT) -> list[tu
 
 
 def links(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: verified links that span every component, between the smallest ids of the classes."""
-    id_type = dict(docs.dtypes)["doc_id"]
-    least = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    classes = signed.join(least, ["class", "doc_id"]).groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    buckets = classes.select(F.explode("bands").alias("bucket"), "doc_id")
+    """a, b: verified links that span every component, between classes."""
+    classes = signed.where("n_shingles > 0").groupBy("class").agg(_first().alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes = classes.withColumnRenamed("class", "node")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").count().where("count > 1")
     # only now, for the few members of shared buckets, do sketches travel
-    met = buckets.join(shared, "bucket").join(classes.drop("bands"), "doc_id")
+    met = buckets.join(shared, "bucket").join(classes.select("node", "n_shingles", "sketch"), "node")
     pieces = F.ceil(F.col("count") / PIECE).cast("int")
     # a bucket beyond PIECE members is dealt into pieces, and every pair of pieces meets
-    here = F.pmod(F.xxhash64("doc_id"), pieces).cast("int")
+    here = F.pmod(F.xxhash64("node"), pieces).cast("int")
     other = F.explode(F.sequence(F.lit(0), pieces - 1))
-    dealt = met.select("bucket", "doc_id", "n_shingles", "sketch", here.alias("here"), other.alias("other"))
-    dealt = dealt.select("bucket", F.least("here", "other").alias("p"), F.greatest("here", "other").alias("q"), "doc_id", "n_shingles", "sketch")
+    dealt = met.select("bucket", "node", "n_shingles", "sketch", here.alias("here"), other.alias("other"))
+    dealt = dealt.select("bucket", F.least("here", "other").alias("p"), F.greatest("here", "other").alias("q"), "node", "n_shingles", "sketch")
 
     def in_buckets(batch: pd.DataFrame) -> list[tuple]:
         rows: list[tuple] = []
         for _, g in batch.groupby(["bucket", "p", "q"], sort=False):
             if len(g) > 1:
                 sketches = np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), WIDTH)
-                rows += chain(g["doc_id"].to_numpy(), g["n_shingles"].to_numpy(), sketches, percent)
+                rows += chain(g["node"].to_numpy(), g["n_shingles"].to_numpy(), sketches, percent)
         return rows
 
     def chained(batch: pd.DataFrame) -> pd.DataFrame:
@@ -196,38 +210,60 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFra
 
     # whole buckets share a group, as most are tiny; a bucket in pieces goes by its pieces
     group = F.when((F.col("p") == 0) & (F.col("q") == 0), F.pmod("bucket", F.lit(4096))).otherwise(F.xxhash64("bucket", "p", "q"))
-    candidates = dealt.withColumn("g", group).groupBy("g").applyInPandas(chained, f"a {id_type}, b {id_type}").distinct()
+    candidates = dealt.withColumn("g", group).groupBy("g").applyInPandas(chained, "a binary, b binary").distinct()
     clusters = checkpointed(components(candidates))
 
     size = clusters.groupBy("component").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     tasks = clusters.join(size, "component").select("node", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tasks = tasks.select(F.col("node").alias("doc_id"), "component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    texts = docs.select("doc_id", "text").join(tasks, "doc_id")
+    tasks = tasks.select("node", "component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    tasks = tasks.join(classes.select("node", "at.doc_id", "at.md5"), "node")
+    every = docs.select("doc_id", _md5().alias("md5"), "text")
+    texts = every.join(tasks, _same(every, tasks)).select("node", "component", "p", "q", "text")
 
     def verified(batch: pd.DataFrame) -> pd.DataFrame:
         hashes, rows = WordHashes(), []
         for _, g in batch.groupby(["component", "p", "q"], sort=False):
-            g = g.drop_duplicates("doc_id")
-            rows += verify(list(g["doc_id"]), [shingles(t, hashes) for t in g["text"]], percent)
+            g = g.drop_duplicates("node")
+            rows += verify(list(g["node"]), [shingles(t, hashes) for t in g["text"]], percent)
         return pd.DataFrame(rows, columns=["a", "b"])
 
     group = F.when((F.col("p") == 0) & (F.col("q") == 0), F.pmod(F.xxhash64("component"), F.lit(1024))).otherwise(F.xxhash64("component", "p", "q"))
-    return texts.withColumn("g", group).groupBy("g").applyInPandas(verified, f"a {id_type}, b {id_type}")
+    return texts.withColumn("g", group).groupBy("g").applyInPandas(verified, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def _named(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and class, ``first`` (the representative of its group)."""
     signed = checkpointed(signatures(docs))
     found = components(links(docs, signed, percent))
-    least = signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = least.join(found, least["least"] == found["node"], "left").select("class", F.coalesce("component", "least").alias("component"))
+    least = signed.where("n_shingles > 0").groupBy("class").agg(_first().alias("least"))
+    grouped = least.join(found, least["class"] == found["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component"))
+    firsts = grouped.groupBy("component").agg(F.min("least").alias("first"))
+    return signed, grouped.join(firsts, "component").select("class", "first")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    signed, named = _named(docs, percent)
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.coalesce("first.doc_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = CORPUS_PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document represents its group."""
-    return docs.join(near_duplicates(docs, percent).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One row of ``docs`` for each group: a row of its representative.
+
+    Rows without words form no group: one row stays for each id and text, and all of those without an id.
+    """
+    signed, named = _named(docs, percent)
+    firsts = named.select("first.doc_id", "first.md5").distinct()
+    keys = signed.groupBy("doc_id", "md5").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
+    keys = keys.where("n_shingles = 0").unionByName(keys.where("n_shingles > 0").join(firsts, _same(keys, firsts), "left_semi"))
+    keys = keys.withColumn("single", (F.col("n") == 1) | ((F.col("n_shingles") == 0) & F.col("doc_id").isNull()))
+    every = docs.withColumn("md5", _md5())
+    single, repeated = keys.where("single"), keys.where(~F.col("single"))
+    # only rows that repeat are shuffled whole
+    alone = every.join(single, _same(every, single), "left_semi")
+    one = every.join(repeated, _same(every, repeated), "left_semi").dropDuplicates(["doc_id", "md5"])
+    return alone.unionByName(one).select(*docs.columns)

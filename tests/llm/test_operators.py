@@ -303,3 +303,12 @@ def test_pipeline(spark):
     assert 0.8 * docs.count() < now.count() < docs.count()
     assert decontaminate.report(now, spark.read.parquet(f"{DIR}/benchmark.parquet")).where("contaminated").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, now, DIR).count() == now.count()
+
+
+def test_deduplicated_rows(spark):
+    """Null ids, repeated rows and one id with two texts: one row stays of each group, and no group is lost."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, a), (None, c + " x"), (3, c), (4, d), (4, b + " y"), (None, None), (None, None), (5, ""), (5, "")]
+    got = [tuple(r) for r in minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, a), (3, c), (4, d), (4, b + " y"), (None, None), (None, None), (5, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
