@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from heliograph.llm import bpe, decontaminate, language, minhash, pii, registry, scoring, secrets, suffixes, url_filter, vectors
+from heliograph.llm import bpe, decontaminate, exchange, language, minhash, pii, registry, scoring, secrets, suffixes, url_filter, vectors
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket long, count long, block int, words string"
@@ -153,22 +154,39 @@ def test_vectors_hot_ball(spark, monkeypatch):
     assert (counts <= truth).all() and counts.sum() >= 0.99 * truth.sum()
 
 
-def test_scoring(spark, docs, odd):
-    for frame in (docs, odd):
-        rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b"\n"]) for r in frame.collect()]
-        c, pairs, contexts = Counter(), Counter(), Counter()
-        for i, ws in rows:
-            if zlib.crc32(str(i).encode()) % 5 != 1:
-                c.update(ws)
-                pairs.update(zip([b"^", *ws], ws, strict=False))
-                contexts.update([b"^", *ws[:-1]])
-        kinds, n, v = Counter(h for h, _ in pairs), sum(c.values()), len(c)
-        p0 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))  # noqa: E731, B023
-        got = {r["doc_id"]: r for r in scoring.score(frame).collect()}
-        for i, ws in rows:
-            p = [(pairs[h, w] + kinds[h] * p0(w)) / (contexts[h] + kinds[h]) if contexts[h] else p0(w) for h, w in zip([b"^", *ws], ws, strict=False)]
-            assert math.isclose(got[i]["score"], sum(map(math.log10, p)), abs_tol=1e-6) and math.isclose(got[i]["base_score"], sum(math.log10(p0(w)) for w in ws), abs_tol=1e-6)
-            assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
+def brute_scores(rows):
+    """n_tokens, n_known, train_tokens, base_score and score by nested formulas over plain counts."""
+    c, ends = [Counter(), Counter(), Counter()], 0
+    texts = [(i, (t or "").encode("utf-8", "replace").lower().split() + [b"\n"]) for i, t in rows]
+    for i, ws in texts:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            path = [b"^", *ws]
+            ends += 1
+            c[0].update(ws)
+            c[1].update(zip(path, ws, strict=False))
+            c[2].update(zip(path, ws, ws[1:], strict=False))
+    n, v = sum(c[0].values()), len(c[0])
+    p1 = lambda w: (c[0][w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda h, w: (c[1][h, w] + scoring.PRIOR_PAIR * p1(w)) / ((ends if h == b"^" else c[0][h]) + scoring.PRIOR_PAIR)
+    p3 = lambda g, h, w: (c[2][g, h, w] + scoring.PRIOR_TRIPLE * p2(h, w)) / (c[1][g, h] + scoring.PRIOR_TRIPLE)
+    for _, ws in texts:
+        path = [b"^", *ws]
+        p = [p2(b"^", ws[0]), *(p3(*x) for x in zip(path, ws, ws[1:], strict=False))]
+        yield len(ws), sum(c[0][w] > 0 for w in ws), n, sum(math.log10(p1(w)) for w in ws), sum(map(math.log10, p))
+
+
+def test_scoring(spark, docs, odd, monkeypatch):
+    nulls = spark.createDataFrame([(None, "a b a b"), (None, "a b a c"), (1, "a b a b"), (1, None), (7, "b a " * 700)], "doc_id long, text string")
+    words = docs.select(F.concat(F.lit("id-"), "doc_id").alias("doc_id"), "text").limit(40)
+    for bits, frame, size in ((8, docs, 16_000_000), (1, odd, 100), (1, docs, 20_000), (8, nulls, 1000), (2, words, 5000)):
+        monkeypatch.setattr(exchange, "MAX_BITS", bits)  # few bits make a deep tree of key ranges
+        rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
+        got = scoring.score(frame, block_bytes=size).toPandas()
+        want = sorted(brute_scores(rows))
+        plain = sorted(map(tuple, got[["n_tokens", "n_known", "train_tokens", "base_score", "score"]].to_numpy().tolist()))
+        assert len(got) == len(rows) and np.allclose(plain, want, atol=1e-6)
+        assert sorted(map(str, got["doc_id"].astype(object).where(got["doc_id"].notna(), None))) == sorted(str(float(i)) if frame is nulls and i is not None else str(i) for i, _ in rows)
+    assert scoring.score(odd.limit(0)).count() == 0
 
 
 PRIVATE = ["Call +1 (212) 555-0188 or mail Ann.Lee@mail5.example.com, ip 10.2.3.254", "ann.lee@mail5.example.com card 4111111111111111 and Mr John Smith met Mrs Smith", None, "", "nothing here 12", "Frau Anna Weber, Иван Петров"]
