@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import block_count, fold, mix, ship
 from .exchange import KIND, answers, deal, gathered, questions, shape, tally
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 10_000_000
 START, END = 0, 1  # numbers of the start of a text, and of its end token
 #: Weights of the lower order, A for pairs and B for triples.
 PRIOR_PAIR, PRIOR_TRIPLE = 10.0, 4.0
@@ -115,7 +115,7 @@ class Slots:
     """Distinct non-negative keys in a table with open addressing."""
 
     def __init__(self, keys: np.ndarray):
-        self.mask = (1 << (2 * len(keys) + 1).bit_length()) - 1
+        self.mask = (1 << (len(keys) + len(keys) // 3 + 1).bit_length()) - 1
         self.keys, self.number = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(left):
@@ -150,6 +150,7 @@ class Automaton:
         n, pairs, triples = block.n, block.pairs, block.triples
         count = np.empty(len(sums), np.int64)
         count[block.order] = sums
+        del sums, block.order, block.keys, block.counts  # the largest arrays, no longer needed
         one, two, three = np.split(count, [n, n + len(pairs)])
         self.n, self.total = n, int(total[0])
         self.known = one > 0
@@ -165,9 +166,10 @@ class Automaton:
         seen2, seen3 = two > 0, three > 0
         self.arcs = Slots(np.concatenate(((1 + u)[seen2] * n + v[seen2], (1 + n + at[seen3]) * n + w[seen3])))
         self.weight = np.log10(np.concatenate((p2[seen2], p3[seen3])))
-        self.to = np.concatenate((np.where(v == END, 0, 1 + n + np.arange(len(pairs)))[seen2], np.where(w == END, 0, 1 + n + lower)[seen3]))
+        del p2, p3
+        self.to = np.concatenate((np.where(v == END, 0, 1 + n + np.arange(len(pairs)))[seen2], np.where(w == END, 0, 1 + n + lower)[seen3])).astype(np.int32)
         self.fail = np.log10(np.concatenate(([1.0], PRIOR_PAIR / (one + PRIOR_PAIR), PRIOR_TRIPLE / (two + PRIOR_TRIPLE))))
-        self.back = np.concatenate((np.zeros(1 + n, np.int64), np.where(one[v] > 0, 1 + v, 0)))
+        self.back = np.concatenate((np.zeros(1 + n, np.int64), np.where(one[v] > 0, 1 + v, 0))).astype(np.int32)
         self.start = 1 + START if one[START] else 0
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +224,7 @@ def score(docs: DataFrame, held_out: F.Column | None = None, block_bytes: int =
     dealt = deal(docs.select("doc_id", "text", held_out.alias("held_out")), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def built(table: pa.Table) -> Block:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back at once what a block has used
         return Block(table.column("text").combine_chunks(), ~table.column("held_out").to_numpy())
 
     def ask(batch: pd.DataFrame) -> pd.DataFrame:
