@@ -4,6 +4,10 @@ Two adjacent symbols that stand together inside no token of the vocabulary can n
 token, whatever merges run.  Such pairs mark certain cuts: a word falls apart into fragments that
 are encoded independently and concatenated, which gives the very ids of the undivided word.
 
+A fragment of up to ``LONG`` symbols is merged by scanning its ranks, a longer one with a heap and a
+linked list, in n log n steps.  A text with code points that Python's tables don't know (the library's
+are newer) is normalised and split into words by the library; its words are merged here all the same.
+
 The style is mapInPandas, free of shuffles; memory is one Arrow batch and a bounded word cache.
 
 Defined results.  A null text counts as empty; an empty text has no ids.  Repeated rows are encoded
@@ -13,7 +17,9 @@ each on its own; further columns are left out.  Texts of any length are encoded
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -28,6 +34,7 @@ WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Words, and pieces between white space, kept by a worker; beyond it the cache starts anew.
 CACHE_WORDS = 150_000
 SHIFT, MASK, NONE = 24, (1 << 24) - 1, 1 << 60
+LONG = 100
 
 
 def byte_letters() -> list[str]:
@@ -37,6 +44,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def unknown_letters() -> re.Pattern:
+    """Code points that are unassigned in Python's tables."""
+    ranges, start = [], None
+    for c in range(0x110001):
+        unassigned = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if unassigned and start is None:
+            start = c
+        elif not unassigned and start is not None:
+            ranges.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 class Pieces(dict):
     """piece between white space -> its ids; hits cost one lookup."""
 
@@ -73,6 +93,8 @@ class Bpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split)
         self.white = regex.compile(f"[{WHITE}]+")
+        self.definition, self.unknown, self.library = definition, unknown_letters(), None
+        self.own = {letter: byte for byte, letter in enumerate(byte_letters())}
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.cache = Pieces(self)
         self.words: dict[str, bytes] = {}
@@ -100,10 +122,33 @@ class Bpe:
                 ranks[i - 1] = get(part[i - 1] << SHIFT | new, NONE)
         return part
 
+    def merged_long(self, part: list[int]) -> list[int]:
+        """The same merges, for long fragments: a heap of (rank, place) over a linked list."""
+        get, n = self.merge.get, len(part)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(m, i) for i, (a, b) in enumerate(zip(part, part[1:])) if (m := get(a << SHIFT | b)) is not None]  # noqa: B905
+        heapq.heapify(heap)
+        while heap:
+            m, i = heapq.heappop(heap)
+            j = after[i]
+            if part[i] < 0 or j < 0 or get(part[i] << SHIFT | part[j]) != m:
+                continue  # an entry from before a merge nearby
+            part[i], part[j] = m & MASK, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (m := get(part[i] << SHIFT | part[k])) is not None:
+                    heapq.heappush(heap, (m, i))
+            if (k := before[i]) >= 0 and (m := get(part[k] << SHIFT | part[i])) is not None:
+                heapq.heappush(heap, (m, k))
+        return [p for p in part if p >= 0]
+
     def encode_word(self, word: str) -> bytes:
+        return self.encode_bytes(word.encode(), word)
+
+    def encode_bytes(self, raw: bytes, word: object) -> bytes:
         found = self.words.get(word)
         if found is None:
-            raw = word.encode()
             part = [self.letters[b] for b in raw]
             part[-1] = self.last[raw[-1]]
             if None in part:  # a vocabulary without that byte drops it
@@ -113,9 +158,9 @@ class Bpe:
             if cuts:
                 ids: list[int] = []
                 for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
-                    ids += self.merged(part[a:b], pairs[a : b - 1])
+                    ids += self.merged(part[a:b], pairs[a : b - 1]) if b - a <= LONG else self.merged_long(part[a:b])
             else:
-                ids = self.merged(part, pairs)
+                ids = self.merged(part, pairs) if len(part) <= LONG else self.merged_long(part)
             found = array("I", ids).tobytes()
             if len(word) < 64:
                 if len(self.words) >= CACHE_WORDS:
@@ -123,22 +168,34 @@ class Bpe:
                 self.words[word] = found
         return found
 
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a piece without white space, as little-endian 32-bit integers."""
-        return self.cache[chunk]
-
     def normalized(self, text: str) -> str:
         text = self.white.sub(" ", unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
+    def library_words(self, text: str) -> Iterator[bytes]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_buffer(self.definition)
+            self.library = whole.normalizer, whole.pre_tokenizer
+        normalizer, splitter = self.library
+        for shown, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text)):
+            yield bytes(map(self.own.__getitem__, shown))
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        if not text.isascii() and self.unknown.search(text):
+            return b"".join(self.encode_bytes(raw, raw) for raw in self.library_words(text))
+        return b"".join(map(self.cache.__getitem__, self.normalized(text).split(" ")))
+
     def encode(self, text: str) -> bytes:
         if self.marks is None or not self.marks.search(text):
-            return b"".join(map(self.cache.__getitem__, self.normalized(text).split(" ")))
+            return self.plain(text)
         out, at = [], 0
         for m in self.marks.finditer(text):
-            out += [*map(self.cache.__getitem__, self.normalized(text[at : m.start()]).split(" ")), array("I", [self.special[m[0]]]).tobytes()]
+            out += [self.plain(text[at : m.start()]), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return b"".join([*out, *map(self.cache.__getitem__, self.normalized(text[at:]).split(" "))])
+        return b"".join([*out, self.plain(text[at:])])
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder, so tokens are joined by spaces."""

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -106,6 +107,42 @@ def test_bpe_round_trip(spark, docs, odd):
             assert r["ids_sha256"] == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
 
 
+@pytest.fixture(scope="module")
+def both():
+    from tokenizers import Tokenizer
+
+    with open(bpe.default_path(), "rb") as f:
+        return bpe.Bpe(f.read()), Tokenizer.from_file(bpe.default_path())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=40))
+def test_bpe_any_unicode(both, text):
+    own, library = both
+    want = library.encode(text, add_special_tokens=False).ids
+    assert list(array("I", own.encode(text))) == want and own.decode(own.encode(text)) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_every_code_point(both):
+    """All code points, known to Python's tables or not, between letters and with a combining mark."""
+    own, library = both
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 20_000):
+        text = " ".join(f"a{c}b{c}\u0307" for c in points[a : a + 20_000])
+        assert list(array("I", own.encode(text))) == library.encode(text, add_special_tokens=False).ids
+        for piece in text.split(" ")[::997]:
+            assert list(array("I", own.encode(piece))) == library.encode(piece, add_special_tokens=False).ids
+
+
+def test_bpe_long_words(both):
+    own, library = both
+    for text in ("a" * 5000, "ab" * 3000, "antidisestablishment" * 300, "ñ" * 3000):
+        assert list(array("I", own.encode(text))) == library.encode(text, add_special_tokens=False).ids
+    started = time.time()
+    assert len(own.encode("a" * 1_000_000)) > 0
+    assert time.time() - started < 60  # in n log n steps; quadratic merging takes hours
+
+
 def brute_links(x):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     return (x @ x.T >= vectors.THRESHOLD).sum(1) - 1
