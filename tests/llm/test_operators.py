@@ -245,11 +245,41 @@ def test_pii(spark):
         assert not any(p["entity"] in r["text"] for p in r["pii"])
 
 
+def told(rows):
+    return {p["entity"]: p["surrogate"] for r in rows for p in r["pii"]}
+
+
+def test_pii_scripts(spark):
+    """No letter of any script leaves its name as it is, and shapes stay."""
+    names = ["Mr Ñç", "Mr Łżę", "Mr Єї", "Mr Ёё", "Frau Straße", "Mrs Şahin", "Mr O'Brien", "Mr 李明", "Ms Ωμέγα", "Mr אב", "Ольга Ёлкина"]
+    got = pii.redact(table(spark, [" and ".join(names), "10.02.3.4 10.2.3.4 10.2.3.5", "Mr Mr Ab"])).orderBy("doc_id").collect()
+    map_ = told(got)
+    assert set(names) <= set(map_) and len(set(map_.values())) == len(map_) and not set(map_) & set(map_.values())
+    assert not any(word in got[0]["text"].split() for n in names for word in n.split()[1:])
+    assert map_["Ольга Ёлкина"].split()[0] in pii.GIVEN["cyrillic_female"] and map_["Ольга Ёлкина"][-1] == "а"
+    assert len({map_["10.02.3.4"], map_["10.2.3.4"], map_["10.2.3.5"]}) == 3
+
+
 def test_pii_collisions(spark):
-    first = "bob.10@mail1.example.com"
-    caught = spark.createDataFrame([(first,)], "e string").select(pii.surrogate(pii.F.col("e"), "heliograph")).first()[0]
-    got = {p["entity"]: p["surrogate"] for r in pii.redact(table(spark, [f"{first} and {caught}"])).collect() for p in r["pii"]}
-    assert len(got) == 2 and len(set(got.values())) == 2 and not set(got) & set(got.values())
+    """Short addresses use up their shape, so surrogates must grow; none is an entity or given twice."""
+    texts = [" ".join(f"{a}{b}@{c}.de" for b in "aeiou") for a in "aeiou" for c in "bcd"]
+    map_ = told(pii.redact(table(spark, texts)).collect())
+    assert len(map_) == 75 and len(set(map_.values())) == 75 and not set(map_) & set(map_.values())
+    assert all(v.endswith(".de") for v in map_.values())
+    more = told(pii.redact(table(spark, texts), key="other").collect())
+    assert more != map_
+
+
+def test_pii_edges(spark):
+    rows = [(None, "x@y.com", 1), (None, "x@y.com", 2), (1, "a." * 100_000 + " x@y.com", 3), (1, "", 4), (2, None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `pii` int")
+    with pytest.raises(ValueError):
+        pii.redact(frame)
+    started = time.time()
+    got = {r["pii"]: r for r in pii.redact(frame, into="who").collect()}
+    assert time.time() - started < 60  # the long text is scanned in linear time
+    assert got[1]["text"] == got[2]["text"] != "x@y.com" and got[3]["text"].endswith(" " + got[1]["text"]) and got[4]["text"] == "" and got[5]["text"] is None
+    assert len(got) == 5 and pii.report(frame.limit(0)).count() == 0
 
 
 def test_url_rules(spark):
