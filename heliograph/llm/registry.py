@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.oracle(), "op4_embedding_dedup": vectors.oracle(), "op7_url_filter": url_filter.oracle()}
+    return {"op2_decontamination": decontaminate.oracle(), "op4_embedding_dedup": vectors.oracle(), "op7_url_filter": url_filter.oracle(), "op8_suffix_dedup": suffixes.oracle()}

@@ -1,19 +1,21 @@
 """Suffix-array dedup: remove bytes of 100-byte strings that also start earlier.
 
-1. Copies of a whole text are represented by the smallest id; the others need no suffixes.
-2. A window's key is the least hash of the 32-byte strings in it, so equal windows have equal keys.
+1. A window's key is the least hash of the 32-byte strings in it, so equal windows have equal keys.
    Consecutive windows with one key form a run.  Keys with a single place in the whole corpus
-   belong to unique strings, and drop out.
-3. The runs that stay are sent, once per block and string, to the shard of their key.  A string
-   that is alone under its key and doesn't repeat in itself shares windows with its own copies only.
-   All others a shard concatenates; it builds their suffix array by induced sorting (classify
-   suffixes, sort the leftmost-smaller substrings, name them and sort the names by doubling, induce
-   the larger and the smaller suffixes bucket by bucket), computes the permuted common prefixes up
-   to the window length, and finds for every window the earliest start among its equals.
+   belong to unique strings, and drop out; the places are counted along a tree of key ranges.
+2. A key with more than ``HOT`` places is split: its runs are cut further by the least hashes under
+   other functions, as many as its count asks for.  Equal windows still share all of them.
+3. The runs that stay are sent, once per block and string, to the shard of their keys; empty messages
+   aren't sent.  A shard concatenates the distinct strings; it builds their suffix array by induced
+   sorting (classify suffixes, sort the leftmost-smaller substrings, name them and sort the names by
+   doubling, induce the larger and the smaller suffixes bucket by bucket), computes the permuted common
+   prefixes up to the window length, and finds for every window the earliest start among its equals.
+   A string that is alone under its keys and doesn't repeat in itself has no equals but its own copies.
 4. Blocks unite the removed windows of their documents.
 
 Defined results.  A null text counts as empty; a text under 100 bytes loses nothing.  Of rows that
-share a doc_id none starts earlier than the other, as (id, start) decides.
+share a doc_id (or have none) none starts earlier than the other, as (id, start) decides; rows without
+an id come after all others.  Ids that are no integers are ordered as text.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_count, mix, ship
-from .exchange import pack, unpack
+from .exchange import KIND, answers, deal, gathered, pack, questions, shape, tally, unpack
 
 WINDOW, GRAM = 100, 32
 BLOCK_BYTES = 12_000_000
 CHUNK = 1 << 16
+#: Places of a key beyond which its runs are split, and the most functions that split them.
+HOT, MOST_CUTS = 4000, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -191,6 +196,20 @@ def _sorted_names(names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _equal_to_last(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray, likely: np.ndarray) -> np.ndarray:
+    """Whether each substring is letter for letter the one before it, where that is likely."""
+    equal, at = np.zeros(len(starts), bool), np.flatnonzero(likely & (starts + sizes <= len(s)))
+    at = at[starts[at - 1] + sizes[at] <= len(s)]
+    for part in np.array_split(at, max(1, int(sizes[at].sum()) // (8 * CHUNK))):
+        if len(part):
+            ends = np.cumsum(sizes[part])
+            first = ends - sizes[part]
+            step = np.arange(ends[-1]) - np.repeat(first, sizes[part])
+            same = s[np.repeat(starts[part], sizes[part]) + step] == s[np.repeat(starts[part - 1], sizes[part]) + step]
+            equal[part] = np.logical_and.reduceat(same, first)
+    return equal
+
+
 def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
     """The suffix array of ``s``, whose end is smaller than any letter, by induced sorting."""
     n = len(s)
@@ -215,6 +234,7 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
         content = (total[np.minimum(rough + size[rough], n)] - total[rough]) * np.cumprod(power, out=power)[rough]
         del total, power
         new = np.concatenate(([True], (content[1:] != content[:-1]) | (size[rough][1:] != size[rough][:-1])))
+        new |= ~_equal_to_last(s, rough, size[rough], ~new)
         # the first of its equals gives a name its rank
         name = np.maximum.accumulate(np.where(new, np.arange(len(rough)), 0))
         of = np.empty(n, np.int64)
@@ -287,91 +307,110 @@ def earliest(strings: list[bytes], owner: np.ndarray, start: np.ndarray) -> list
 # --- the messages of a block ---
 
 
+class Order:
+    """Ids and starts as ranks: integers by value, other ids as text, rows without an id last."""
+
+    def __init__(self, unnamed: np.ndarray, ids: np.ndarray):
+        self.rank = np.unique(ids, return_inverse=True)[1]
+        self.rank[unnamed] = len(ids)
+
+
+def _packed_ids(ids: list) -> tuple[np.ndarray, ...]:
+    """Whether each is null, and the values: integers, or the lengths and bytes of texts."""
+    unnamed = np.array([i is None for i in ids], bool)
+    if any(isinstance(i, str) for i in ids):
+        raw = [(i or "").encode() for i in ids]
+        return unnamed, np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+    return unnamed, np.array([i or 0 for i in ids], np.int64)
+
+
+def _unpacked_ids(unnamed: np.ndarray, values: np.ndarray, raw: np.ndarray | None = None) -> np.ndarray:
+    if raw is None:
+        return values
+    ends, raw = np.cumsum(values), raw.tobytes()
+    return np.array([raw[e - n : e].decode() for e, n in zip(ends.tolist(), values.tolist(), strict=True)], object)
+
+
+def cut_hot(raw: bytes, functions: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """First window and key of each stretch of windows whose least hashes agree under so many functions."""
+    (grams,) = rolling(np.frombuffer(raw, np.uint8), GRAM)
+    keys = np.zeros(len(raw) - WINDOW + 1, np.uint64)
+    for k in range(functions):
+        keys = mix(keys * _BASE + sliding(mix(grams + np.uint64(k + 1) * _INVERSE), True))
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return first, keys[first]
+
+
 class Block:
-    def __init__(self, batch: pd.DataFrame, told: pd.DataFrame, shards: int):
-        self.shards = shards
-        copies = {m.decode() for m in told.loc[told["kind"] == "copy", "message"]}
-        batch = batch.assign(raw=[(t or "").encode("utf-8", "replace") for t in batch["text"]]).sort_values(["doc_id", "raw"], kind="stable")
-        self.ids, self.texts = batch["doc_id"].to_numpy(), list(batch["raw"])
-        self.copy = np.array([str(i) in copies for i in self.ids], bool)
-        own = [b"" if c else t for c, t in zip(self.copy, self.texts, strict=True)]
-        self.doc, self.start, self.count, self.key, places, close = runs(own, Rolling())
+    """The runs of a block's texts; the order of the texts doesn't matter."""
+
+    def __init__(self, table: pa.Table, shards: int, told: pd.DataFrame | None = None):
+        self.shards, self.rolling = shards, Rolling()
+        ids, texts = table.column("doc_id").to_pylist(), [(t or "").encode("utf-8", "replace") for t in table.column("text").to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, texts[i]))
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        self.rank = np.cumsum([0, *(a != b for a, b in zip(self.ids, self.ids[1:]))])  # noqa: B905
+        self.doc, self.start, self.count, self.key, places, close = runs(self.texts, self.rolling)
         self.keys, self.which = np.unique(self.key, return_inverse=True)
         place = np.searchsorted(self.keys, places)
         self.times = np.bincount(place, minlength=len(self.keys))
-        self.loops = (np.bincount(place[close], minlength=len(self.keys)) > 0)[self.which]
-        shard = self.keys % np.uint64(shards)
-        self.order = np.argsort(shard, kind="stable")
-        self.ends = np.searchsorted(shard[self.order], np.arange(shards), side="right")
-        self.told = told
-
-    def key_questions(self) -> list[bytes]:
-        out, a = [], 0
-        for end in self.ends:
-            part = self.order[a:end]
-            out.append(pack(self.keys[part], self.times[part] > 1))
-            a = end
-        return out
-
-    def shared(self) -> np.ndarray:
-        """Runs whose key occurs again, from the shards' answers."""
-        flags = np.zeros(len(self.keys), bool)
-        answers = self.told[self.told["kind"] == "key"].sort_values("shard")
-        a = 0
-        for end, message in zip(self.ends, answers["message"], strict=True):
-            flags[self.order[a:end]] = unpack(message)[0]
-            a = end
-        return np.flatnonzero(flags[self.which])
-
-    def strings(self) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """Shared runs; for each the run that has its string first here; by shard the first ones."""
-        runs_, first, seen = self.shared(), [], {}
-        by_shard: list[list[int]] = [[] for _ in range(self.shards)]
-        doc, start, count = self.doc[runs_].tolist(), self.start[runs_].tolist(), self.count[runs_].tolist()
-        shard = (self.key[runs_] % np.uint64(self.shards)).tolist()
-        for i, (d, p, n) in enumerate(zip(doc, start, count, strict=True)):
+        self.loops = np.bincount(place[close], minlength=len(self.keys)) > 0
+        if told is not None:
+            self._share(answers(told)[1])
+
+    def _share(self, places: np.ndarray) -> None:
+        """Keep the runs whose key has other places; split those of frequent keys."""
+        stays = np.flatnonzero(places[self.which] > 1)
+        hot = places[self.which[stays]] > HOT
+        plain, doc, start, count, key, loops = stays[~hot], [], [], [], [], []
+        for i in stays[hot].tolist():
+            d, p, n = int(self.doc[i]), int(self.start[i]), int(self.count[i])
+            functions = min(MOST_CUTS, 1 + int(np.log2(places[self.which[i]] / HOT)))
+            first, keys = cut_hot(self.texts[d][p : p + n + WINDOW - 1], functions, self.rolling)
+            doc.append(np.full(len(first), d))
+            start.append(p + first)
+            count.append(np.diff(np.append(first, n)))
+            key.append(mix(keys + self.key[i]))
+            loops.append(np.ones(len(first), bool))  # a stretch may meet others of its own string
+        self.doc, self.start, self.count, self.key, self.loops = (
+            np.concatenate([x[plain], *more]) for x, more in ((self.doc, doc), (self.start, start), (self.count, count), (self.key, key), (self.loops[self.which], loops))
+        )
+        self.shard = (self.key % np.uint64(self.shards)).astype(np.int64)
+        # the first run here with each string, and by shard those runs
+        self.first, self.by_shard, seen = [], {}, {}
+        for i, (d, p, n, shard) in enumerate(zip(self.doc.tolist(), self.start.tolist(), self.count.tolist(), self.shard.tolist(), strict=True)):
             f = seen.setdefault(self.texts[d][p : p + n + WINDOW - 1], i)
-            first.append(f)
+            self.first.append(f)
             if f == i:
-                by_shard[shard[i]].append(i)
-        return runs_, np.array(first, np.int64), by_shard
+                self.by_shard.setdefault(shard, []).append(i)
 
-    def string_questions(self) -> list[bytes]:
-        runs_, _, by_shard = self.strings()
-        out = []
-        for part in by_shard:
-            r = runs_[part]
-            raw = b"".join(self.texts[d][p : p + n + WINDOW - 1] for d, p, n in zip(self.doc[r], self.start[r], self.count[r], strict=True))
-            out.append(pack(np.frombuffer(raw, np.uint8), self.count[r], self.ids[self.doc[r]].astype(np.int64), self.start[r], self.key[r], self.loops[r]))
-        return out
+    def string_questions(self, g: int) -> pd.DataFrame:
+        made = []
+        for part in self.by_shard.values():
+            raw = b"".join(self.texts[d][p : p + n + WINDOW - 1] for d, p, n in zip(self.doc[part], self.start[part], self.count[part], strict=True))
+            made.append(pack(np.frombuffer(raw, np.uint8), self.count[part], self.start[part], self.key[part], self.loops[part], *_packed_ids([self.ids[d] for d in self.doc[part]])))
+        return pd.DataFrame({"p": np.array(list(self.by_shard), np.int64), "g": np.int64(g), "message": made})
 
-    def kept(self) -> list[tuple]:
+    def kept(self, told: pd.DataFrame) -> list[tuple]:
         """n_bytes, n_removed, n_spans and the hash of the rest, for each document."""
-        runs_, first, by_shard = self.strings()
         late: dict[int, np.ndarray] = {}
-        answers = self.told[self.told["kind"] == "string"].sort_values("shard")
-        for part, message in zip(by_shard, answers["message"], strict=True):
+        for shard, message in zip(told["p"], told["message"], strict=True):
             bits = np.unpackbits(unpack(message)[0]).astype(bool)
             at = 0
-            for i in part:
-                n = int(self.count[runs_[i]])
+            for i in self.by_shard[shard]:
+                n = int(self.count[i])
                 late[i] = bits[at : at + n]
                 at += n
         edges: dict[int, list[tuple[int, int]]] = {}
-        for i, r in enumerate(runs_.tolist()):
-            f = int(first[i])
-            d, p, n = int(self.doc[r]), int(self.start[r]), int(self.count[r])
-            g = runs_[f]
-            if f != i and (self.ids[d], p) > (self.ids[self.doc[g]], self.start[g]):
+        for i, f in enumerate(self.first):
+            d, p, n = int(self.doc[i]), int(self.start[i]), int(self.count[i])
+            if f != i and (self.rank[d], p) > (self.rank[self.doc[f]], self.start[f]):
                 edges.setdefault(d, []).append((p, p + n - 1))
             else:
                 on = np.flatnonzero(np.diff(np.concatenate(([0], late[f].view(np.int8), [0]))))
                 edges.setdefault(d, []).extend((p + int(a), p + int(b) - 1) for a, b in on.reshape(-1, 2))
         out = []
         for d, raw in enumerate(self.texts):
-            if self.copy[d] and len(raw) >= WINDOW:
-                out.append((self.ids[d], len(raw), len(raw), 1, hashlib.sha256(b"").hexdigest()))
-                continue
             spans: list[list[int]] = []
             for a, b in sorted(edges.get(d, ())):
                 if spans and a <= spans[-1][1]:
@@ -387,15 +426,6 @@ class Block:
         return out
 
 
-def answer_keys(messages: list[bytes]) -> list[bytes]:
-    asked = [unpack(m) for m in messages]
-    keys, where = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    again = np.bincount(where, minlength=len(keys)) > 1
-    again[where[np.concatenate([a[1] for a in asked])]] = True
-    cuts = np.cumsum([len(a[0]) for a in asked])[:-1]
-    return [pack(x) for x in np.split(again[where], cuts)]
-
-
 def answer_strings(messages: list[bytes]) -> list[bytes]:
     asked = [unpack(m) for m in messages]
     number: dict[bytes, int] = {}
@@ -403,14 +433,15 @@ def answer_strings(messages: list[bytes]) -> list[bytes]:
     for raw, count, *_ in asked:
         raw, ends = raw.tobytes(), np.cumsum(count + WINDOW - 1)
         places.append(np.fromiter((number.setdefault(raw[e - n : e], len(number)) for e, n in zip(ends.tolist(), (count + WINDOW - 1).tolist(), strict=True)), np.int64, len(count)))
-    if not number:
-        return [pack(np.zeros(0, np.uint8)) for _ in asked]
-    place = np.concatenate(places)
-    owner, start = np.concatenate([a[2] for a in asked]), np.concatenate([a[3] for a in asked])
+    place, start = np.concatenate(places), np.concatenate([a[2] for a in asked])
+    ids = [_unpacked_ids(*a[5:]) for a in asked]
+    texts = any(x.dtype == object for x in ids)  # a block whose ids are all null packs them as integers
+    owner = Order(np.concatenate([a[5] for a in asked]), np.concatenate([np.full(len(x), "", object) if texts and x.dtype != object else x for x in ids])).rank
     order = np.lexsort((start, owner))
     first = np.full(len(number), -1, np.int64)
     first[place[order][::-1]] = order[::-1]
-    key, loops = np.concatenate([a[4] for a in asked])[first], np.concatenate([a[5] for a in asked])[first]
+    key = np.concatenate([a[3] for a in asked])[first]
+    loops = np.bincount(place, weights=np.concatenate([a[4] for a in asked]), minlength=len(number)) > 0
     _, group, crowd = np.unique(key, return_inverse=True, return_counts=True)
     strings = list(number)
     late = [np.zeros(len(x) - WINDOW + 1, bool) for x in strings]
@@ -426,7 +457,7 @@ def answer_strings(messages: list[bytes]) -> list[bytes]:
             earlier = f != at and (owner[f], start[f]) < (owner[at], start[at])
             bits.append(np.ones(len(late[k]), bool) if earlier else late[k])
             at += 1
-        out.append(pack(np.packbits(np.concatenate(bits)) if bits else np.zeros(0, np.uint8)))
+        out.append(pack(np.packbits(np.concatenate(bits))))
     return out
 
 
@@ -436,38 +467,46 @@ def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
     blocks = block_count(docs, "text", block_bytes)
     shards = max(blocks, block_count(docs, "text", block_bytes // 3))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    dealt = docs.select("doc_id", "text", block)
-    named = docs.where(F.octet_length("text") >= WINDOW).select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
-    least = named.groupBy("md5").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    kind = "block int, kind string, shard int, message binary"
-    copies = named.join(least, "md5").where("doc_id > least").select(block, F.lit("copy").alias("kind"), F.lit(0).alias("shard"), F.col("doc_id").cast("string").cast("binary").alias("message"))
+    whole = id_type in ("bigint", "int", "smallint", "tinyint")
+    named = docs.select(F.col("doc_id").cast("bigint" if whole else "string").alias("doc_id"), "text")
+    dealt = deal(named, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    bits = shape(blocks)[1]
 
-    def messages(batch: pd.DataFrame, name: str, made: list[bytes]) -> pd.DataFrame:
-        return pd.DataFrame({"block": int(batch["block"].iat[0]), "kind": name, "shard": np.arange(shards, dtype=np.int32), "message": made})
-
-    def none() -> pd.DataFrame:
-        return pd.DataFrame({"block": [], "kind": [], "shard": [], "message": []}).astype({"block": "int32", "shard": "int32"})
-
-    def ask_keys(batch: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return messages(batch, "key", Block(batch, told, shards).key_questions()) if len(batch) else none()
+    def ask_keys(batch: pd.DataFrame) -> pd.DataFrame:
+        block = Block(gathered(list(batch["rows"])), shards)
+        return questions(int(batch["g"].iat[0]), block.keys, block.times, bits)
 
     def ask_strings(batch: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return messages(batch, "string", Block(batch, told, shards).string_questions()) if len(batch) else none()
-
-    def tell_keys(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.assign(message=answer_keys(list(batch["message"])))
+        return Block(gathered(list(batch["rows"])), shards, told).string_questions(int(batch["g"].iat[0]))
 
     def tell_strings(batch: pd.DataFrame) -> pd.DataFrame:
         return batch.assign(message=answer_strings(list(batch["message"])))
 
-    def finish(batch: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(Block(batch, told, shards).kept() if len(batch) else [], columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    def with_docs(told: DataFrame):
-        return dealt.groupBy("block").cogroup(told.groupBy("block"))
-
-    told_keys = with_docs(copies).applyInPandas(ask_keys, kind).groupBy("shard").applyInPandas(tell_keys, kind)
-    known = copies.unionByName(told_keys)
-    told_strings = with_docs(known).applyInPandas(ask_strings, kind).groupBy("shard").applyInPandas(tell_strings, kind)
-    return with_docs(known.unionByName(told_strings)).applyInPandas(finish, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.to_pandas()
+        block = Block(gathered(rows.column("rows").to_pylist()), shards, told[told["is_key"]])
+        out = list(zip(*block.kept(told[~told["is_key"]]), strict=True))
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64() if whole else pa.string(), *[pa.int64()] * 3, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    told_keys = tally(dealt.groupBy("g").applyInPandas(ask_keys, KIND), blocks, lambda keys, counts: np.zeros(1, np.int64))
+    told_strings = dealt.groupBy("g").cogroup(told_keys.groupBy("g")).applyInPandas(ask_strings, KIND).groupBy("p").applyInPandas(tell_strings, KIND)
+    told = told_keys.withColumn("is_key", F.lit(True)).unionByName(told_strings.withColumn("is_key", F.lit(False)))
+    out = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(finish, f"doc_id {'bigint' if whole else 'string'}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+
+def oracle() -> str:
+    """Windows are compared as hexadecimal text, two characters a byte."""
+    return """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT k, doc_id, h, length(h) // 2 AS n FROM d),
+w AS (SELECT k, doc_id, i, md5(substring(h, 2 * i - 1, 200)) AS g FROM (SELECT k, doc_id, h, unnest(range(1, n - 98)) AS i FROM n WHERE n >= 100)),
+f AS (SELECT g, min(struct_pack(u := doc_id IS NULL, d := doc_id, i := i)) AS f FROM w GROUP BY g HAVING count(*) > 1),
+late AS (SELECT k, i FROM w JOIN f USING (g) WHERE struct_pack(u := doc_id IS NULL, d := doc_id, i := i) > f),
+s AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM late),
+spans AS (SELECT k, min(i) AS a, max(i) + 99 AS b FROM (SELECT k, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM s) GROUP BY k, run),
+gaps AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT k, sum(b - a + 1) AS gone, count(*) AS spans, max(b) AS last, string_agg(substring(h, (2 * before + 1)::BIGINT, (2 * (a - 1 - before))::BIGINT), '' ORDER BY a) AS rest FROM gaps JOIN n USING (k) GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(rest, '') || substring(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM n LEFT JOIN kept USING (k)"""

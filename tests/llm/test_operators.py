@@ -311,6 +311,24 @@ def test_suffixes(spark, docs):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
 
 
+def test_suffixes_split_and_ids(spark, docs, monkeypatch):
+    """Frequent keys are split without a change of results; null and text ids; copies; a deep tree of key ranges."""
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(exchange, "MAX_BITS", 1)
+    line = "this very line of seventy bytes or so stands in all documents here, yes"
+    texts = [f"{i * 7919 % 1000:04d} " * 30 + line + f" {i * 104729 % 1000:04d}" * 30 for i in range(30)]
+    texts += [line * 3, line * 4, "x" * 500, texts[3], "ab" * 200, texts[4][50:] + "ab" * 100]
+    want = brute_suffixes(texts)
+    for kind, ids in (("long", list(range(len(texts)))), ("string", [f"{i:03d}" for i in range(len(texts))]), ("long", [*range(len(texts) - 1), None]), ("string", [*(f"{i:03d}" for i in range(len(texts) - 1)), None])):
+        frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.deduplicated(frame, block_bytes=3000).collect()}
+        assert [got[i] for i in ids] == want
+    same = spark.createDataFrame([(None, "q" * 99 + "r" * 300), (1, "q" * 99 + "r" * 300)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.deduplicated(same).collect()}
+    assert got[1] < got[None] == 399
+    assert suffixes.deduplicated(same.limit(0)).count() == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60))
 def test_suffix_array(values):
