@@ -10,25 +10,26 @@ benchmark beyond that bound makes several passes, whose hits are united, so that
 grows with it.
 
 Defined results.  A null or wordless text has no words and no hits and is not contaminated.  A null
-or wordless item has no window.  Items that repeat count once per item_id; a null item_id is
-skipped.  Repeated documents are judged each on its own.  With an empty benchmark nothing is hit.
+or wordless item has no window.  Items that repeat count once per item_id; the windows of an item
+without an id hit words, but the item is not listed.  Other columns may have any names.  Repeated documents are judged each on its own.  With an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import fresh, ship
 
 WINDOW = 13
-MAX_ITEM_WORDS = 2_000_000
+#: Item words of one automaton, which takes about 100 MB in each worker then.
+MAX_ITEM_WORDS = 250_000
 
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -62,6 +63,12 @@ class Automaton:
                     if size < window:
                         break
         self._inherit()
+        # frozen: one table of arcs, packed lengths and links, and equal acceptances only once
+        self.arc = {s << 32 | w: t for s, arcs in enumerate(self.arcs) for w, t in arcs.items()}
+        self.length, self.link = array("i", self.length), array("i", self.link)
+        once: dict = {}
+        self.accept = {s: once.setdefault(a, a) for s, a in ((s, tuple((k, tuple(sorted(ids, key=str))) for k, ids in a)) for s, a in self.accept.items())}
+        del self.arcs
 
     def _new(self, length: int, arcs: dict[int, int], link: int) -> int:
         self.length.append(length)
@@ -103,9 +110,10 @@ class Automaton:
             state = self.link[state]
         for k, ids in self.accept.setdefault(state, []):
             if k == size:
-                ids.add(item_id)
+                if item_id is not None:
+                    ids.add(item_id)
                 return
-        self.accept[state].append((size, {item_id}))
+        self.accept[state].append((size, set() if item_id is None else {item_id}))
 
     def _inherit(self) -> None:
         """Along the suffix links: every state learns the windows of its shorter suffixes."""
@@ -116,24 +124,20 @@ class Automaton:
 
     def match(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged hit ranges over the words, and the items whose windows occur."""
-        code, arcs, link, lengths, accept = self.code.get, self.arcs, self.link, self.length, self.accept
+        code, arc, link, lengths, accept = self.code.get, self.arc.get, self.link, self.length, self.accept
         state = length = 0
         ranges: list[tuple[int, int]] = []
         found: set = set()
-        root = arcs[0]
         for i, w in enumerate(map(code, ws)):
             if w is None:
                 state = length = 0
                 continue
-            nxt = arcs[state].get(w)
+            nxt = arc(state << 32 | w)
             if nxt is None:
-                while state and w not in arcs[state]:
+                while nxt is None:
                     state = link[state]
-                if state:
-                    length = lengths[state] + 1
-                    nxt = arcs[state][w]
-                else:
-                    length, nxt = 1, root[w]
+                    nxt = arc(state << 32 | w)
+                length = lengths[state] + 1
             else:
                 length += 1
             state = nxt
@@ -143,12 +147,12 @@ class Automaton:
                     start = i + 1 - fits[0][0]
                     if ranges and start <= ranges[-1][1]:
                         while len(ranges) > 1 and start <= ranges[-2][1]:
-                            ranges.pop(-2)
+                            start = min(start, ranges.pop(-2)[0])
                         ranges[-1] = (min(start, ranges[-1][0]), i + 1)
                     else:
                         ranges.append((start, i + 1))
                     for _, ids in fits:
-                        found |= ids
+                        found.update(ids)
         return _united(ranges), found
 
 
@@ -166,7 +170,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_IT
     """Automata over all items, each within the word bound; items arrive one partition at a time."""
     batch: list = []
     size = 0
-    for row in benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         if not (ws := words(row["text"])):
             continue
         if batch and size + len(ws) > max_words:
@@ -177,36 +181,43 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_IT
     yield Automaton(batch, window)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, starts, ends (hit ranges over words), items, and the columns of ``carry``.
+FOUND = ("n_words", "starts", "ends", "items")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS, carry: tuple[str, ...] = (), into: tuple[str, ...] = FOUND) -> DataFrame:
+    """doc_id, text, the columns of ``carry``, and under the names of ``into``: the number of words, the
+    starts and ends of hit ranges over words, and the items.
 
     One pass per automaton; each adds to the hits of the passes before it.
     """
     ship(docs.sparkSession)
     kept = list(dict.fromkeys(("doc_id", "text", *carry)))
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", n_words long, starts array<int>, ends array<int>, items array<string>"
-    out = docs.select(*kept)
+    n_words, starts, ends, items = into
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{n_words}` long, `{starts}` array<int>, `{ends}` array<int>, `{items}` array<string>"
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+    at, width = kept.index("text"), len(kept)
+    out = docs.select(*(F.col(f"`{c}`") for c in kept))
     for k, automaton in enumerate(automata(benchmark, window, max_words)):
         shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(automaton, protocol=5))
 
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped, first=k == 0) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, first=k == 0) -> Iterator[pa.RecordBatch]:
             tester: Automaton = pickle.loads(shipped.value)
             for batch in batches:
-                counts, hits, items = [], [], []
-                for i, text in enumerate(batch["text"]):
+                before = [None] * len(batch) if first else list(zip(*(batch.column(width + j).to_pylist() for j in (1, 2, 3)), strict=True))
+                rows = []
+                for text, old in zip(batch.column(at).to_pylist(), before, strict=True):
                     ws = words(text)
                     ranges, ids = tester.match(ws)
                     ids = set(map(str, ids))
-                    if not first:
-                        ranges = _united([*ranges, *zip(batch["starts"].iat[i], batch["ends"].iat[i], strict=True)])
-                        ids |= set(batch["items"].iat[i])
-                    counts.append(len(ws))
-                    hits.append(ranges)
-                    items.append(sorted(ids))
-                yield batch[kept].assign(n_words=counts, starts=[[a for a, _ in r] for r in hits], ends=[[b for _, b in r] for r in hits], items=items)
-
-        out = out.mapInPandas(run, schema)
+                    if old is not None:
+                        ranges = _united([*ranges, *zip(old[0], old[1], strict=True)])
+                        ids |= set(old[2])
+                    rows.append((len(ws), [a for a, _ in ranges], [b for _, b in ranges], sorted(ids)))
+                made = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*kept, *into])
+
+        out = out.mapInArrow(run, schema)
     return out
 
 
@@ -235,16 +246,21 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.05) -> DataFrame:
     """Rows of ``docs``: those with hit words at ``max_share`` or more go, shorter hits are cut out of the text."""
     columns = docs.columns
-    found = find(docs, benchmark, carry=tuple(columns))
+    into = tuple(fresh(name, columns) for name in FOUND)
+    found = find(docs, benchmark, carry=tuple(columns), into=into)
+    kept = [c for c in found.columns if c not in into]
+    at, schema = kept.index("text"), ", ".join(f"`{c}` {t}" for c, t in docs.select(*(F.col(f"`{c}`") for c in kept)).dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = np.array([int(np.sum(b) - np.sum(a)) for a, b in zip(batch["starts"], batch["ends"], strict=True)], dtype=float)
-            kept = batch[(hit == 0) | (hit < max_share * batch["n_words"])].copy()
-            kept["text"] = [cut(t, list(zip(a, b, strict=True))) if len(a) else t for t, a, b in zip(kept["text"], kept["starts"], kept["ends"], strict=True)]
-            yield kept[columns]
+            n, starts, ends = (batch.column(len(kept) + j).to_pylist() for j in range(3))
+            hit = [sum(b) - sum(a) for a, b in zip(starts, ends, strict=True)]
+            stays = pa.array([h == 0 or h < max_share * k for h, k in zip(hit, n, strict=True)], pa.bool_())
+            texts = [cut(t, list(zip(a, b, strict=True))) if a else t for t, a, b in zip(batch.column(at).to_pylist(), starts, ends, strict=True)]
+            made = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(kept))]
+            yield pa.RecordBatch.from_arrays(made, names=kept).filter(stays)
 
-    return found.mapInPandas(run, docs.schema)
+    return found.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def oracle() -> str:
@@ -257,7 +273,7 @@ bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i +
 dw AS (SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT k, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 covered AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hits) GROUP BY k),
-items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM hits) GROUP BY k)
+items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (k) LEFT JOIN items USING (k)"""

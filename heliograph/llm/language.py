@@ -5,11 +5,14 @@ separate its languages.  Features are hashed byte 1- to 4-grams of the lower-cas
 roots of their shares, over the whole text.
 
 The machines are fitted on a bounded sample: at most ``per_language`` labelled documents of each
-language, those with the smallest hash of their id.  Scoring is local to each row.
+language, those with the smallest hash of their id, and fewer where there are so many languages that
+``SAMPLE_ROWS`` would be passed (but ``LEAST`` of each, so no language is left out).  Scoring is local
+to each row.
 
 Defined results.  A text that is null or holds no letter is ``und`` with score 0, as is every text
 if there is nothing to learn from.  With one learned language all other texts are that language
-with score 1.  Rows that repeat are judged each on its own; ids are never features.
+with score 1.  Rows that repeat are judged each on its own; ids are never features, and a null id is
+outside the fold.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship
+from .common import fold, fresh, ship
 
-#: Bounds of the fit: documents of each language, and languages (those with most documents).
-PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+#: Bounds of the fit: documents of each language, of all languages, and the least of each.
+PER_LANGUAGE, SAMPLE_ROWS, LEAST = 400, 20_000, 20
 BITS = 12
 SIZE = 1 << BITS
 
@@ -141,7 +145,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, held_out: F.Column |
     held_out = (fold("doc_id", 3) == 1) if held_out is None else held_out
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
     spread = F.xxhash64("doc_id")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
+    per_language = min(per_language, max(LEAST, SAMPLE_ROWS // max(len(counts), 1)))
     # a few more than needed by the hash, so that the sort below sees a bounded number of rows
     shares = {r["lang"]: min(1.0, 1.5 * (per_language + 50) / r["count"]) for r in counts}
     if not shares:
@@ -168,19 +173,21 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, held_out: F.Column |
     return Hierarchy.fit(x, np.array([r["lang"] for r in chosen]))
 
 
-def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
-    """The columns of ``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Hierarchy, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``docs`` and, named by ``into``, the language and its score."""
     ship(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{into[0]}` string, `{into[1]}` double"
+    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge: Hierarchy = shipped.value
         for batch in batches:
-            got = [judge.predict(t) for t in batch["text"]]
-            yield batch.assign(lang_pred=[lang for lang, _ in got], score=[p for _, p in got])
+            got = [judge.predict(t) for t in batch.column(at).to_pylist()]
+            made = [pa.array([lang for lang, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *into])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -190,5 +197,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The documents whose language is known (score above ``least``), with ``lang`` set to it."""
-    found = predict(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") > least))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    into = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = predict(docs, fit(docs), into).where((F.col(into[0]) != "und") & (F.col(into[1]) > least))
+    return found.withColumn("lang", F.col(into[0])).select(*(F.col(f"`{c}`") for c in docs.columns))
+

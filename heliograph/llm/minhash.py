@@ -16,7 +16,8 @@ block pair has nothing left that isn't already connected.  Only verified links c
 
 Defined results.  A null, empty or blank text has the empty set: n_shingles 0, linked with nothing.
 Rows that repeat id and text are one document; different texts under one id are judged each on its
-own set.  Ties go to the smallest id, null ids last, then to the smaller md5 of the text.
+own set.  Ties go to the smallest id, null ids last, then to the smaller md5 of the text.  A row without
+an id is kept unless its group holds one with an id; a group without any id has a null component.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, checkpointed, mix, ship
+from .common import Forest, checkpointed, fresh, mix, ship
 from .components import components
 
 WIDTH, BANDS, ROWS = 100, 25, 4
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed, named = _named(docs, percent)
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     component = F.coalesce("first.doc_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = CORPUS_PERCENT) -> DataFrame:
@@ -261,9 +262,11 @@ def deduplicated(docs: DataFrame, percent: int = CORPUS_PERCENT) -> DataFrame:
     keys = signed.groupBy("doc_id", "md5").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
     keys = keys.where("n_shingles = 0").unionByName(keys.where("n_shingles > 0").join(firsts, _same(keys, firsts), "left_semi"))
     keys = keys.withColumn("single", (F.col("n") == 1) | ((F.col("n_shingles") == 0) & F.col("doc_id").isNull()))
-    every = docs.withColumn("md5", _md5())
+    mark = fresh("md5", docs.columns)
+    every = docs.withColumn(mark, _md5())
     single, repeated = keys.where("single"), keys.where(~F.col("single"))
+    same = lambda k: every["doc_id"].eqNullSafe(k["doc_id"]) & (every[mark] == k["md5"])
     # only rows that repeat are shuffled whole
-    alone = every.join(single, _same(every, single), "left_semi")
-    one = every.join(repeated, _same(every, repeated), "left_semi").dropDuplicates(["doc_id", "md5"])
-    return alone.unionByName(one).select(*docs.columns)
+    alone = every.join(single, same(single), "left_semi")
+    one = every.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", mark])
+    return alone.unionByName(one).select(*(F.col(f"`{c}`") for c in docs.columns))
