@@ -6,13 +6,13 @@ again as the next stage's ``docs``.  All but the last return the columns of ``do
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import bpe, decontaminate, language, minhash, pii
-from heliograph.llm.common import table
+from heliograph.llm.common import fresh, shared_folder, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes surrogates."""
-    return _counted(pii.redact(docs).drop("pii")).select(*docs.columns)
+    found = fresh("pii", docs.columns)
+    return _counted(pii.redact(docs, into=found).drop(found))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +54,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the rows lie in the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")
-    run_id = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
+    run_id = uuid.uuid4().hex
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{folder}/pipeline-{run_id}/{name}"
+            path = f"{shared_folder(spark)}/pipeline-{run_id}/{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
