@@ -185,10 +185,30 @@ def test_vectors_recall_at_depth(depth):
 def test_vectors_hot_ball(spark, monkeypatch):
     monkeypatch.setattr(vectors, "LEAF", 4)  # depth 10 on few rows
     x = hot_ball(3000, np.random.default_rng(6))
-    got = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
     truth = brute_links(x)
-    counts = got["n_links"].to_numpy()
-    assert (counts <= truth).all() and counts.sum() >= 0.99 * truth.sum()
+    for step in (10, 4):  # in one round, and in three
+        monkeypatch.setattr(vectors, "STEP", step)
+        got = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+        counts = got["n_links"].to_numpy()
+        assert (counts <= truth).all() and counts.sum() >= 0.98 * truth.sum()
+
+
+def test_vectors_edges(spark):
+    rows = [(None, [1.0, 0.0]), (None, [0.0, 1.0]), (4, [2.0, 0.0]), (4, [3.0, 0.1]), (7, [0.0, -1.0]), (None, None)]
+    for kind in ("float", "double"):
+        got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect())
+        assert got == [("4", 2, "4", True), ("4", 2, "4", True), ("7", 0, "7", True), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 2, "4", False)]
+    assert vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").limit(0)).count() == 0
+
+
+def test_vectors_recall(spark):
+    """Against brute force over the whole larger table, with trees of more than four levels."""
+    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    x = np.array([r["embedding"] for r in rows.select("vec_id", "embedding").orderBy("vec_id").collect() if r["embedding"] is not None], float)
+    assert len(vectors._levels(len(x))) and sum(vectors._levels(len(x))) > 4
+    truth = brute_links(x)
+    got = vectors.near_duplicates(rows.where("embedding is not null")).orderBy("vec_id").toPandas()["n_links"].to_numpy()
+    assert (got <= truth).all() and got.sum() >= 0.9 * truth.sum()
 
 
 def brute_scores(rows):
