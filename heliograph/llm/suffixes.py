@@ -91,10 +91,11 @@ def runs(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, ...]:
         o, g = at[order], grams[at][order]
         close = np.zeros(len(at), bool)
         close[order[1:]] = (g[1:] == g[:-1]) & (o[1:] - o[:-1] <= SPAN)
-        places.append((grams[at], close))
+        places.append((mix(grams[at]), close))
         keys = keys[valid]
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))))
-        found.append((np.array(part)[own[first]], place[first], np.diff(np.append(first, len(keys))), keys[first]))
+        # least hashes are small; mixed again they spread over all key ranges
+        found.append((np.array(part)[own[first]], place[first], np.diff(np.append(first, len(keys))), mix(keys[first])))
 
     part, size = [], 0
     for i, t in enumerate(texts):
