@@ -16,13 +16,15 @@ STC_TEMPERATURE, STC_IRRADIANCE = 25.0, 1000.0
 
 @dataclass(frozen=True)
 class Plant:
+    """A plant's figures, or Columns of them where rows of many plants are measured at once."""
+
     capacity_kw: float = 100.0
     gamma: float = -0.004
     utc_offset_hours: float = 0.0
     ac_ceiling_kw: float | None = None
 
     def __post_init__(self):
-        if self.capacity_kw <= 0 or self.gamma > 0:
+        if not isinstance(self.capacity_kw, Column) and (self.capacity_kw <= 0 or self.gamma > 0):
             raise ValueError("capacity must be positive and gamma not above zero")
 
 
@@ -48,4 +50,6 @@ def significance(change: Column, scatter: Column) -> Column:
 
 
 def local_hour(ts: Column, plant: Plant) -> Column:
+    if isinstance(plant.utc_offset_hours, Column):
+        return F.hour(F.timestamp_seconds(F.unix_timestamp(ts) + (plant.utc_offset_hours * 3600).cast("long")))
     return F.hour(ts + F.make_dt_interval(F.lit(0), F.lit(int(plant.utc_offset_hours)), F.lit(int(plant.utc_offset_hours % 1 * 60))))

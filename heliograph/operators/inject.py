@@ -57,3 +57,38 @@ def telemetry_gap(panel: DataFrame, inside: Column, columns: tuple[str, ...] = (
 
 
 INJECTORS = {"string_outage": outage, "shading": shading, "soiling": soiling, "clipping": power_cap, "curtailment": power_cap, "sensor_drift": sensor_drift, "telemetry_gap": telemetry_gap}
+
+
+def string_share(strings: DataFrame, inside: Column, string_idx: int, fraction_lost: float = 1.0) -> DataFrame:
+    """system_id, share: what the plant loses with one string, as the median over the window's instants.
+
+    The string's current before the outage is set against the total after it, so a whole outage of one of
+    n even strings weighs 1/(n-1); where no instant tells, the share is 1/n.
+    """
+    lost = F.when(F.col("string_idx") == string_idx, F.col("current_a") * (1 - fraction_lost)).otherwise(F.col("current_a"))
+    totals = strings.where(inside).groupBy("system_id", "ts").agg(F.max(F.when(F.col("string_idx") == string_idx, F.col("current_a"))).alias("own"), F.sum(lost).alias("total"))
+    known = strings.groupBy("system_id").agg((1 / F.count_distinct("string_idx")).alias("even"))
+    shares = totals.groupBy("system_id").agg(F.median(F.when(F.col("total") != 0, F.col("own") / F.col("total"))).alias("share"))
+    return known.join(shares, "system_id", "left").select("system_id", F.coalesce("share", "even").alias("share"))
+
+
+def outage_of_string(panel: DataFrame, strings: DataFrame, inside: Column, string_idx: int, fraction_lost: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The plant's panel and its strings after one string's loss, with the plant's share taken from the strings."""
+    share = string_share(strings, inside, string_idx, fraction_lost)
+    joined = panel.join(share, "system_id", "left")
+    plant = scaled(joined, inside, 1 - fraction_lost * F.coalesce("share", F.lit(0.0))).drop("share")
+    return plant, scaled(strings, inside & (F.col("string_idx") == string_idx), F.lit(1 - fraction_lost), ("current_a",))
+
+
+def shaded_strings(strings: DataFrame, inside: Column, hour_start: int, hour_end: int, depth: float, first: int, affected: int, count: int = 7) -> DataFrame:
+    """The strings under a shadow: ``affected`` neighbours from ``first`` on, around the end of the row."""
+    hit = F.pmod(F.col("string_idx") - first, F.lit(count)) < affected
+    return scaled(strings, inside & hit & (F.hour("ts") >= hour_start) & (F.hour("ts") < hour_end), F.lit(1 - depth), ("current_a",))
+
+
+def soiled_strings(strings: DataFrame, panel: DataFrame, inside: Column, rate: float, most: float, rain_resets: bool = True) -> DataFrame:
+    """All strings of a soiled plant, by the loss of each day that ``soiling`` finds for the plant."""
+    marked = soiling(panel.withColumn("ac_power_kw", F.lit(1.0)), inside, rate, most, rain_resets)
+    kept = marked.groupBy("system_id", F.to_date("ts").alias("__day")).agg(F.min("ac_power_kw").alias("__kept"))
+    joined = strings.withColumn("__day", F.to_date("ts")).join(kept, ["system_id", "__day"], "left")
+    return scaled(joined, inside, F.coalesce("__kept", F.lit(1.0)), ("current_a",)).drop("__day", "__kept")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+# Words that carry no meaning in queries, written out here so that SQL doesn't take them from the engine.
+STOP = (
+    "a an and are as at be been but by can could do does for from had has have if in into is it its may more most no not of on or "
+    "that the their then there these they this to was were what when which while who will with would"
+)
+
 
 def _panel(days: int = 14) -> str:
     of = lambda kind: f"sum(CASE WHEN event_type = '{kind}' THEN value::DECIMAL(18,4) END)::DOUBLE"
@@ -79,8 +85,8 @@ SELECT system_id, window_id, expected_samples, actual_samples, round(actual_samp
 BM25 = """WITH stop AS (SELECT unnest(string_split('{stop}', ' ')) AS word),
 dt AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents),
 dk AS (SELECT * FROM dt WHERE term NOT IN (SELECT word FROM stop)),
-len AS (SELECT d.doc_id AS id, greatest(count(dk.term), 1) AS length FROM documents d LEFT JOIN dk ON dk.id = d.doc_id GROUP BY 1),
-whole AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
+len AS (SELECT d.doc_id AS id, count(dk.term) AS raw, greatest(count(dk.term), 1) AS length FROM documents d LEFT JOIN dk ON dk.id = d.doc_id GROUP BY 1),
+whole AS (SELECT count(*) AS n, CASE WHEN avg(raw) > 0 THEN avg(raw) ELSE 1 END AS mean FROM len),
 q AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM benchmark),
 qk AS (SELECT qid, term, count(*) AS qf FROM q WHERE term NOT IN (SELECT word FROM stop) GROUP BY 1, 2),
 tf AS (SELECT id, term, count(*) AS tf FROM dk WHERE term IN (SELECT term FROM qk) GROUP BY 1, 2),
@@ -202,8 +208,6 @@ SELECT part, node, calls, round(ms / 1000, 3) AS seconds, round(ms / sum(ms) OVE
 
 
 def _sql() -> dict[str, str]:
-    from heliograph.operators.retrieval import STOP_WORDS
-
     kw = "system_id, window_id"
     lag_ac = f"abs(ac - lag(ac) OVER (PARTITION BY {kw} ORDER BY ts))"
     return {
@@ -276,7 +280,7 @@ sp AS (SELECT *, sum(wet::INTEGER) OVER (ORDER BY on_day) AS spell FROM dw), ls
 l AS (SELECT identity, max(sweep) AS last_hit, count(*) AS hits FROM h GROUP BY 1), g AS (SELECT l.*, (SELECT count(*) FROM al WHERE sweep > last_hit) AS after FROM l)
 SELECT identity, CASE WHEN after >= 3 THEN 'resolved' WHEN hits = 1 THEN 'new' ELSE 'ongoing' END AS lifecycle, least(after, 3)::INTEGER AS misses,
   (SELECT max(sweep) FROM (SELECT sweep FROM al WHERE sweep >= last_hit ORDER BY sweep LIMIT 4))::BIGINT AS last FROM g""",
-        "bm25_search": BM25.replace("{stop}", " ".join(STOP_WORDS)),
+        "bm25_search": BM25.replace("{stop}", STOP),
         "macro_f1": f"""WITH {CASES}, l AS (SELECT DISTINCT truth AS label FROM c WHERE truth IS NOT NULL), s AS (SELECT label, count(*) FILTER (truth = label AND predicted = label) AS tp, count(*) FILTER (truth = label) AS actual, count(*) FILTER (predicted = label) AS named FROM l, c GROUP BY label),
 r AS (SELECT *, coalesce(tp / nullif(named, 0), 0) AS pr, tp / actual AS re FROM s) SELECT label, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, actual::BIGINT AS support FROM r""",
         "confusion": f"WITH {CASES} SELECT truth, count(*) FILTER (predicted = 0) AS predicted_0, count(*) FILTER (predicted = 1) AS predicted_1 FROM c GROUP BY truth",
@@ -329,7 +333,7 @@ def _views_sql() -> dict[str, str]:
         "recent_rows": f"WITH {_panel()} SELECT system_id, ts, round(ac, 4) AS ac_power_kw, round(poa, 4) AS poa_wm2 FROM p QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY ts DESC) <= 400",
         "pr_weekly": f"SELECT system_id, period, pr, pr_temperature_corrected, energy_kwh, data_completeness, data_completeness < 0.5 AS shaded FROM ({weekly})",
         "string_map": f"WITH {STRINGS}, t AS (SELECT *, sum(current_a) OVER (PARTITION BY day) AS total FROM s), m AS (SELECT median(total) AS middle FROM (SELECT DISTINCT day, total FROM t)) SELECT system_id, day, string_idx, round(current_a / total, 6) AS share FROM t, m WHERE total > greatest(0.2 * middle, 1e-6)",
-        "expected_scatter": f"WITH {_panel()}, {EXPECTED}, n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS k, greatest(count(*) OVER () // 200, 1) AS stride FROM x WHERE expected > 1 AND ac IS NOT NULL) SELECT system_id, ts, round(expected, 4) AS expected_kw, round(ac, 4) AS ac_power_kw FROM n WHERE k % stride = 0",
+        "expected_scatter": f"WITH {_panel()}, {EXPECTED}, n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS k, greatest(count(*) OVER () // 4000, 1) AS stride FROM x WHERE expected > 1 AND ac IS NOT NULL) SELECT system_id, ts, round(expected, 4) AS expected_kw, round(ac, 4) AS ac_power_kw FROM n WHERE k % stride = 0",
         "gap_calendar": f"WITH {_panel()}, c AS (SELECT system_id, on_day AS day, round(count(ac) / count(*), 6) AS completeness FROM p GROUP BY ALL) SELECT *, CASE WHEN completeness <= 0 THEN 'missing' WHEN completeness < 0.5 THEN 'poor' WHEN completeness < 0.95 THEN 'partial' ELSE 'complete' END AS band FROM c",
         "plant_summary": f"WITH {_panel()} SELECT system_id, epoch(min(ts))::BIGINT AS first_second, epoch(max(ts))::BIGINT AS last_second, count(*) AS intervals, round(max(ac), 4) AS peak_ac_kw FROM p GROUP BY 1",
         "latest_plan": "SELECT conv_id, max(turn) AS step_index, arg_max(text, turn) AS plan FROM conversations WHERE role = 'assistant' GROUP BY 1",
@@ -340,21 +344,19 @@ o AS (SELECT qid, key, count(*) AS overlap FROM a JOIN k USING (word) GROUP BY 1
 
 def _hybrid_sql() -> str:
     """BM25 and 4-gram cosine over the conversations, the best 30 of each fused by rank, then reranked."""
-    from heliograph.operators.retrieval import STOP_WORDS
-
-    stop = "string_split('" + " ".join(STOP_WORDS) + "', ' ')"
+    stop = f"string_split('{STOP}', ' ')"
     terms = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: NOT list_contains({stop}, x))"
     grams = lambda source, key: f"(SELECT {key}, g, count(*) AS c FROM (SELECT {key}, unnest(list_transform(range(1, length(t) - 2), lambda i: substring(t, i, 4))) AS g FROM (SELECT {key}, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM {source})) GROUP BY ALL)"
     best = lambda name: f"SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM {name} QUALIFY rank <= 30"
     return f"""WITH d AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text FROM conversations), q AS (SELECT item_id AS qid, coalesce(text, '') AS text FROM benchmark),
-dt AS (SELECT id, {terms("text")} AS t FROM d), qt AS (SELECT qid, {terms("text")} AS t FROM q), ln AS (SELECT id, greatest(len(t), 1) AS length FROM dt), wh AS (SELECT count(*) AS n, avg(length) AS mean FROM ln),
+dt AS (SELECT id, {terms("text")} AS t FROM d), qt AS (SELECT qid, {terms("text")} AS t FROM q), ln AS (SELECT id, len(t) AS raw, greatest(len(t), 1) AS length FROM dt), wh AS (SELECT count(*) AS n, CASE WHEN avg(raw) > 0 THEN avg(raw) ELSE 1 END AS mean FROM ln),
 qk AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest(t) AS term FROM qt) GROUP BY ALL), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM dt) WHERE term IN (SELECT term FROM qk) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT qid, id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM tf JOIN df USING (term) JOIN ln USING (id) JOIN qk USING (term), wh GROUP BY ALL),
 dg AS {grams("d", "id")}, qg AS {grams("q", "qid")}, dn AS (SELECT id, sqrt(sum(c * c)) AS dn FROM dg GROUP BY 1), qn AS (SELECT qid, sqrt(sum(c * c)) AS qn FROM qg GROUP BY 1),
 dot AS (SELECT qid, id, sum(dg.c * qg.c) AS dot FROM dg JOIN qg USING (g) GROUP BY ALL), co AS (SELECT qid, id, dot / (dn * qn) AS score FROM dot JOIN dn USING (id) JOIN qn USING (qid)),
-fu AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM ({best("bm")} UNION ALL {best("co")}) GROUP BY ALL), fr AS ({best("fu")}),
-sc AS (SELECT fr.qid, fr.id, 2 * coalesce(len(list_intersect(list_distinct(qt.t), dt.t)) / nullif(len(list_distinct(qt.t)), 0), 0) + CASE WHEN contains(lower(d.text), lower(q.text)) THEN 1.5 ELSE 0 END + 1.0::DOUBLE / rank AS score
+fu AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM ({best("bm")} UNION ALL {best("co")}) GROUP BY ALL), fr AS ({best("fu").replace(" QUALIFY rank <= 30", "")}),
+sc AS (SELECT fr.qid, fr.id, 2 * coalesce(len(list_intersect(list_distinct(qt.t), dt.t)) / nullif(len(list_distinct(qt.t)), 0), 0) + CASE WHEN trim(lower(q.text), E' \\t\\n\\r') <> '' AND contains(lower(d.text), trim(lower(q.text), E' \\t\\n\\r')) THEN 1.5 ELSE 0 END + 1.0::DOUBLE / rank AS score
   FROM fr JOIN d USING (id) JOIN dt USING (id) JOIN q USING (qid) JOIN qt USING (qid)),
 re AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc) SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM re WHERE rank <= 10"""
 

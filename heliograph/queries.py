@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,7 +138,8 @@ def inject_gap(spark, sf_dir):
 
 def _ledger(spark, sf_dir, days: int = 7) -> DataFrame:
     """One wide row of measures for each window: all that the detectors and rules ask for."""
-    panel = panels.events_hourly(spark, sf_dir)
+    # one scan: the hourly panel is far smaller than the events, and kept; a lost part is computed anew
+    panel = panels.events_hourly(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     windows = windows_of(panel, days)
     rows = in_windows(panel, windows)
     by_day = panel.groupBy("system_id", F.to_date("ts").alias("day")).agg(F.sum("poa_wm2").alias("poa_wm2"), F.sum("ac_power_kw").alias("ac_power_kw"))
@@ -195,7 +197,7 @@ def hybrid_search(spark, sf_dir):
     chunks = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     queries_ = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
     rankings = [retrieval.top(retrieval.bm25(chunks, queries_), 30), retrieval.top(retrieval.ngram_cosine(chunks, queries_), 30)]
-    return retrieval.rerank(retrieval.fuse(rankings, 30), chunks, queries_, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.rerank(retrieval.fuse(rankings), chunks, queries_, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def _cases(spark, sf_dir):
@@ -346,7 +348,7 @@ def string_map(spark, sf_dir):
 
 
 def expected_scatter(spark, sf_dir):
-    return views.scatter(panels.events_hourly(spark, sf_dir), points=200)
+    return views.scatter(panels.events_hourly(spark, sf_dir))
 
 
 def gap_calendar(spark, sf_dir):
@@ -382,10 +384,13 @@ NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in NAMES}
+    from heliograph import fleet
+
+    return {f.__name__: f for f in (*NAMES, *fleet.NAMES)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from heliograph import fleet_sql
     from heliograph.oracles import SQL
 
-    return dict(SQL)
+    return dict(SQL) | fleet_sql.SQL

@@ -8,7 +8,7 @@ import pytest
 from heliograph import queries
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "lineitem events documents benchmark labels conversations".split()
+TABLES = "region nation part lineitem events documents benchmark labels conversations".split()
 
 
 def rows(frame):
