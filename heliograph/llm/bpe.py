@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -44,19 +43,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-def unknown_letters() -> re.Pattern:
-    """Code points that are unassigned in Python's tables."""
-    ranges, start = [], None
-    for c in range(0x110001):
-        unassigned = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if unassigned and start is None:
-            start = c
-        elif not unassigned and start is not None:
-            ranges.append(f"{chr(start)}-{chr(c - 1)}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
-
-
 class Pieces(dict):
     """piece between white space -> its ids; hits cost one lookup."""
 
@@ -93,7 +79,8 @@ class Bpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split)
         self.white = regex.compile(f"[{WHITE}]+")
-        self.definition, self.unknown, self.library = definition, unknown_letters(), None
+        self.definition, self.library = definition, None
+        self.assigned: set[str] = set()
         self.own = {letter: byte for byte, letter in enumerate(byte_letters())}
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.cache = Pieces(self)
@@ -182,9 +169,17 @@ class Bpe:
         for shown, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text)):
             yield bytes(map(self.own.__getitem__, shown))
 
+    def unknown(self, text: str) -> bool:
+        """Whether a code point is unassigned in Python's tables."""
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return True
+        self.assigned |= new
+        return False
+
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
-        if not text.isascii() and self.unknown.search(text):
+        if not text.isascii() and self.unknown(text):
             return b"".join(self.encode_bytes(raw, raw) for raw in self.library_words(text))
         return b"".join(map(self.cache.__getitem__, self.normalized(text).split(" ")))
 
