@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from heliograph import queries
@@ -13,7 +14,7 @@ TABLES = "region nation part lineitem events documents benchmark labels conversa
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v).replace(" 00:00:00", "")
 
