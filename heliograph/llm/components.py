@@ -2,6 +2,10 @@
 
 Edges never leave the executors; a round is two grouped minima joined back, and every round's
 edges are written to the shared checkpoint folder, so lost executors cost one round at most.
+
+A hub's edges don't meet in one task.  Minima are combined before the shuffle, and vertices of more than
+``max(HUB_EDGES, 2 * edges / MOST_HUBS)`` edges get theirs by a broadcast: their degrees add up to at most
+twice the edges, so there are never more than MOST_HUBS of them, whatever the input.  All others join.
 """
 
 from __future__ import annotations
@@ -11,13 +15,24 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Bound on the rows of the broadcast table of hubs, and the fewest edges of a hub.
+MOST_HUBS, HUB_EDGES = 10_000, 200
+
+
+def _tied(near: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """Every edge (u, v) with u's minimum m; hubs' edges stay where they are."""
+    many = max(HUB_EDGES, 2 * count // MOST_HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
+    others = near.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= many).select("u", "m"), "u")
+    return near.join(hubs, "u").unionByName(others)
+
 
-def _round(edges: DataFrame, large: bool) -> DataFrame:
-    """Rewire every vertex's larger (or smaller) neighbours to its smallest neighbour."""
+def _round(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """Rewire every vertex's larger (or smaller) neighbours to its smallest neighbour.  ``count`` edges or fewer."""
     back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     near = edges.unionByName(back) if large else edges
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = near.join(least, "u")
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    tied = _tied(near, least, count)
     if large:
         return tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     hung = tied.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,7 +45,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = checkpointed(loose)
     mark = _mark(now)
     while mark[0]:
-        now = checkpointed(_round(_round(now, large=True), large=False))
+        now = checkpointed(_round(_round(now, True, mark[0]), False, mark[0]))
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from heliograph.llm import bpe, decontaminate, exchange, language, minhash, pii, registry, scoring, secrets, suffixes, url_filter, vectors
+from heliograph.llm import bpe, components, decontaminate, exchange, language, minhash, pii, registry, scoring, secrets, suffixes, url_filter, vectors
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket long, count long, block int, words string"
@@ -464,3 +464,23 @@ def test_deduplicated_rows(spark):
     got = [tuple(r) for r in minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     want = [(1, a), (3, c), (4, d), (4, b + " y"), (None, None), (None, None), (5, "")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_components_with_hubs_and_chains(spark, monkeypatch):
+    """Hubs above and vertices below the bound of the broadcast, a long chain, loops, repeated edges and none."""
+    monkeypatch.setattr(components, "HUB_EDGES", 20)
+    edges = [(7, i) for i in range(100, 400)] + [(i, 9000) for i in range(300, 320)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (2000, 2001), (2000, 2001), (2001, 2000)]
+    least = {}
+
+    def root(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            lo, hi = sorted((root(a), root(b)))
+            least[hi] = lo
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted((r["node"], r["component"]) for r in found.collect()) == sorted((x, root(x)) for x in list(least))
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
