@@ -20,11 +20,13 @@ MOST_HUBS, HUB_EDGES = 10_000, 200
 
 
 def _tied(near: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """Every edge (u, v) with u's minimum m; hubs' edges stay where they are."""
+    """Every edge (u, v) with u's minimum m; hubs' edges are spread by ``salt`` and meet no row of the join."""
     many = max(HUB_EDGES, 2 * count // MOST_HUBS)
-    hubs = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
-    others = near.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= many).select("u", "m"), "u")
-    return near.join(hubs, "u").unionByName(others)
+    hubs = F.broadcast(least.where(F.col("n") > many).select("u", F.col("m").alias("hub_m")))
+    spread = F.when(F.col("hub_m").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(1024)) + 1).otherwise(F.lit(0)).cast("long")
+    others = least.where(F.col("n") <= many).select("u", "m", F.lit(0).cast("long").alias("salt"))
+    marked = near.join(hubs, "u", "left").withColumn("salt", spread)
+    return marked.join(others, ["u", "salt"], "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _round(edges: DataFrame, large: bool, count: int) -> DataFrame:
@@ -36,7 +38,8 @@ def _round(edges: DataFrame, large: bool, count: int) -> DataFrame:
     if large:
         return tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     hung = tied.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+    # the filter keeps every row, and n with it: all uses of the minima share one exchange
+    return hung.unionByName(least.where("n > 0").select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
