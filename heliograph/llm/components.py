@@ -24,7 +24,8 @@ def _tied(near: DataFrame, least: DataFrame, count: int) -> DataFrame:
     many = max(HUB_EDGES, 2 * count // MOST_HUBS)
     hubs = F.broadcast(least.where(F.col("n") > many).select("u", F.col("m").alias("hub_m")))
     spread = F.when(F.col("hub_m").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(1024)) + 1).otherwise(F.lit(0)).cast("long")
-    others = least.where(F.col("n") <= many).select("u", "m", F.lit(0).cast("long").alias("salt"))
+    # a column and not a literal, which the optimizer would take out of the join's keys
+    others = least.select("u", "m", F.when(F.col("n") > many, -1).otherwise(0).cast("long").alias("salt"))
     marked = near.join(hubs, "u", "left").withColumn("salt", spread)
     return marked.join(others, ["u", "salt"], "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
 
