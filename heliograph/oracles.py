@@ -361,4 +361,16 @@ sc AS (SELECT fr.qid, fr.id, 2 * coalesce(len(list_intersect(list_distinct(qt.t)
 re AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc) SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM re WHERE rank <= 10"""
 
 
-SQL = _sql() | _sun_sql() | _views_sql() | {"hybrid_search": _hybrid_sql()}
+def _prose_sql() -> dict[str, str]:
+    """Numerals beside what stands behind them, and sentences that read as rules."""
+    return {
+        "numeric_grounding": """WITH e AS (SELECT event_id AS id, value AS k, round(value * 100)::BIGINT AS n FROM events WHERE value IS NOT NULL),
+c AS (SELECT id, k, (n // 100) || '.' || lpad((n % 100)::VARCHAR, 2, '0') AS literal, 2 AS d FROM e UNION ALL SELECT id, k, ((n // 10 + id % 3) // 10) || '.' || ((n // 10 + id % 3) % 10), 1 FROM e UNION ALL SELECT id, k, id::VARCHAR, 0 FROM e WHERE id > 24),
+v AS (SELECT *, literal::DOUBLE AS value FROM c)
+SELECT id, literal, value, least(abs(value - k), abs(value - k * 100), abs(value - k * 0.01)) <= 0.5 * pow(10.0, -d) + 1e-9 + value * 1e-9 AS grounded FROM v""",
+        "rule_lint": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '> ' || n[1] WHEN 1 THEN 'less than ' || n[1] ELSE 'above ' || n || ' %' END AS found
+FROM (SELECT event_id, floor(value)::BIGINT::VARCHAR AS n FROM events WHERE value IS NOT NULL) WHERE event_id % 4 < 3""",
+    }
+
+
+SQL = _sql() | _sun_sql() | _views_sql() | _prose_sql() | {"hybrid_search": _hybrid_sql()}

@@ -278,10 +278,13 @@ def document_chunks(spark, sf_dir):
 
 
 def numeric_grounding(spark, sf_dir):
-    """The numerals of assistant turns against those their conversation's users gave."""
-    turns = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
-    shown = prose.numbers(turns.where("role = 'user'"), "conv_id", mask=False).select("id", "value")
-    return prose.grounding(turns.where("role = 'assistant'"), shown, "conv_id")
+    """Every event as an answer: its value in full, a value in tenths that is off for two of three, and its id."""
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "value", F.round(F.col("value") * 100).cast("long").alias("n"))
+    tenths = F.expr("n div 10 + id % 3")
+    full = F.concat(F.expr("n div 100").cast("string"), F.lit("."), F.lpad(F.expr("n % 100").cast("string"), 2, "0"))
+    near = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    text = F.concat_ws(" ", F.lit("In step 30"), "event_type", F.col("id").cast("string"), F.lit("read"), full, F.lit("units, about"), near)
+    return prose.grounding(events.where("value is not null").withColumn("text", text), events.select("id", "value"), "id")
 
 
 def retrieval_quality(spark, sf_dir):
@@ -371,7 +374,11 @@ def knowledge_match(spark, sf_dir):
 
 
 def rule_lint(spark, sf_dir):
-    return knowledge.rule_like(read(spark, sf_dir, "documents"), "doc_id")
+    """Events as sentences: three of four read as a rule, the others state a value."""
+    events = read(spark, sf_dir, "events").where("value is not null").select("event_id", "event_type", F.floor("value").cast("string").alias("n"))
+    kind = F.col("event_id") % 4
+    words = F.when(kind == 0, F.concat(F.lit("> "), "n")).when(kind == 1, F.concat(F.lit("less than "), "n")).when(kind == 2, F.concat(F.lit("above "), "n", F.lit(" %"))).otherwise(F.concat(F.lit("read "), "n"))
+    return knowledge.rule_like(events.withColumn("text", F.concat_ws(" ", "event_type", words)), "event_id")
 
 
 NAMES = (
