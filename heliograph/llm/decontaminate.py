@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import pickle
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,26 +182,34 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_IT
 
 
 FOUND = ("n_words", "starts", "ends", "items")
+FOUND_KINDS = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS, carry: tuple[str, ...] = (), into: tuple[str, ...] = FOUND) -> DataFrame:
-    """doc_id, text, the columns of ``carry``, and under the names of ``into``: the number of words, the
-    starts and ends of hit ranges over words, and the items.
+def _schema(docs: DataFrame, columns: list[str]) -> str:
+    types = dict(docs.dtypes)
+    return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
-    One pass per automaton; each adds to the hits of the passes before it.
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int, kept: list[str], into: tuple[str, ...], finish: Callable[[list[pa.Array], list[tuple]], pa.RecordBatch] | None = None) -> DataFrame:
+    """One pass per automaton over the columns ``kept``; each adds to the hits of the passes before it.
+
+    The last pass hands the columns of a batch and its rows of hits to ``finish``, which returns a batch
+    of ``kept``: a pass of its own would hold another Python worker beside each one that matches.
     """
     ship(docs.sparkSession)
-    kept = list(dict.fromkeys(("doc_id", "text", *carry)))
-    types = dict(docs.dtypes)
     n_words, starts, ends, items = into
-    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + f", `{n_words}` long, `{starts}` array<int>, `{ends}` array<int>, `{items}` array<string>"
-    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+    plain = _schema(docs, kept)
+    schema = plain + f", `{n_words}` long, `{starts}` array<int>, `{ends}` array<int>, `{items}` array<string>"
     at, width = kept.index("text"), len(kept)
     out = docs.select(*(F.col(f"`{c}`") for c in kept))
-    for k, automaton in enumerate(automata(benchmark, window, max_words)):
+    todo = automata(benchmark, window, max_words)
+    automaton, k = next(todo), 0
+    while automaton is not None:
         shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(automaton, protocol=5))
+        automaton = next(todo, None)
+        ending = finish if automaton is None else None
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, first=k == 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, first=k == 0, ending=ending) -> Iterator[pa.RecordBatch]:
             tester: Automaton = pickle.loads(shipped.value)
             for batch in batches:
                 before = [None] * len(batch) if first else list(zip(*(batch.column(width + j).to_pylist() for j in (1, 2, 3)), strict=True))
@@ -214,13 +222,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
                         ranges = _united([*ranges, *zip(old[0], old[1], strict=True)])
                         ids |= set(old[2])
                     rows.append((len(ws), [a for a, _ in ranges], [b for _, b in ranges], sorted(ids)))
-                made = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+                if ending is not None:
+                    yield ending(batch.columns[:width], rows)
+                    continue
+                made = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(FOUND_KINDS)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*kept, *into])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, schema if ending is None else plain)
+        k += 1
     return out
 
 
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS, carry: tuple[str, ...] = (), into: tuple[str, ...] = FOUND) -> DataFrame:
+    """doc_id, text, the columns of ``carry``, and under the names of ``into``: the number of words, the
+    starts and ends of hit ranges over words, and the items.
+    """
+    return _passes(docs, benchmark, window, max_words, list(dict.fromkeys(("doc_id", "text", *carry))), into)
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest: a document is contaminated if its hit words are a twentieth of its words or more."""
     hit = F.coalesce(F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
@@ -243,24 +262,20 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.05) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.05, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """Rows of ``docs``: those with hit words at ``max_share`` or more go, shorter hits are cut out of the text."""
     columns = docs.columns
+    at = columns.index("text")
+
+    def cleaned(batch: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
+        hit = [sum(ends) - sum(starts) for _, starts, ends, _ in rows]
+        stays = pa.array([h == 0 or h < max_share * r[0] for h, r in zip(hit, rows, strict=True)], pa.bool_())
+        texts = [cut(t, list(zip(starts, ends, strict=True))) if starts else t for t, (_, starts, ends, _) in zip(batch[at].to_pylist(), rows, strict=True)]
+        made = [pa.array(texts, pa.string()) if j == at else column for j, column in enumerate(batch)]
+        return pa.RecordBatch.from_arrays(made, names=columns).filter(stays)
+
     into = tuple(fresh(name, columns) for name in FOUND)
-    found = find(docs, benchmark, carry=tuple(columns), into=into)
-    kept = [c for c in found.columns if c not in into]
-    at, schema = kept.index("text"), ", ".join(f"`{c}` {t}" for c, t in docs.select(*(F.col(f"`{c}`") for c in kept)).dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, starts, ends = (batch.column(len(kept) + j).to_pylist() for j in range(3))
-            hit = [sum(b) - sum(a) for a, b in zip(starts, ends, strict=True)]
-            stays = pa.array([h == 0 or h < max_share * k for h, k in zip(hit, n, strict=True)], pa.bool_())
-            texts = [cut(t, list(zip(a, b, strict=True))) if a else t for t, a, b in zip(batch.column(at).to_pylist(), starts, ends, strict=True)]
-            made = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(kept))]
-            yield pa.RecordBatch.from_arrays(made, names=kept).filter(stays)
-
-    return found.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in columns))
+    return _passes(docs, benchmark, WINDOW, max_words, columns, into, cleaned)
 
 
 def oracle() -> str:

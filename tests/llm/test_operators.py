@@ -95,6 +95,19 @@ def test_decontamination_edges(spark, odd):
     assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_workers(spark):
+    """Cutting takes no Python worker beside the one that matches, and several automata cut the same."""
+    passage, others = (" ".join(f"{w}{i}" for i in range(14)) for w in "pq")
+    rest = " ".join(f"r{i}" for i in range(700))
+    docs = spark.createDataFrame([(1, f"{rest} {passage}, {rest}", "a"), (2, f"{passage} end", "b"), (3, None, "c"), (4, rest, "d"), (None, f"{others} {rest} {passage}", "e")], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(1, passage), (2, others)], "item_id long, text string")
+    once = decontaminate.clean(docs, bench)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {(1, f"{rest} , {rest}", "a"), (3, None, "c"), (4, rest, "d"), (None, f" {rest} ", "e")}
+    for got in (once, decontaminate.clean(docs, bench, max_words=1)):
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == want
+
+
 def test_bpe_round_trip(spark, docs, odd):
     from tokenizers import Tokenizer
 
