@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.sources.package import ship  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,20 +74,6 @@ def sha256_text(column: F.Column) -> F.Column:
     return F.sha2(column.cast("binary"), 256)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a session, for clusters where it isn't installed."""
-    context = spark.sparkContext
-    if getattr(context, "_heliograph_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    file = Path(tempfile.mkdtemp(prefix="heliograph-")) / "heliograph.zip"
-    with zipfile.ZipFile(file, "w") as archive:
-        for source in sorted(root.rglob("*.py")):
-            archive.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(file))
-    context._heliograph_shipped = True
-
-
 class Forest:
     """Union-find over 0..n-1 whose roots are the smallest members."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B, RRF_K = 1.5, 0.75, 60
+from heliograph.operators import scores
+
+K1, B, RRF_K, DIGITS = 1.5, 0.75, 60, 9
 _BLANK = r"[\s\x1c-\x1f]"
 
 # Words that carry no meaning in queries.
@@ -16,40 +18,20 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: ~t.isin(STOP_WORDS))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, id, score over the postings of the queries' terms; a term repeated in a query counts as often."""
-    words = chunks.select("id", tokens(F.col("text")).alias("t"))
-    lengths = words.select("id", F.size("t").alias("raw"), F.greatest(F.size("t"), F.lit(1)).alias("length"))
-    mean = F.avg("raw")
-    whole = lengths.agg(F.count("*").alias("n"), F.when(mean > 0, mean).otherwise(1.0).alias("mean"))
-    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    wanted = asked.select("term").distinct()
-    postings = words.select("id", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rows = postings.join(df, "term").join(lengths, "id").join(F.broadcast(whole))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return rows.select("term", "id", weight.alias("w")).join(asked, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
-
-
-def ngrams(text: Column, n: int = 4) -> Column:
-    t = F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
-    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, score, rank: the ``k`` best chunks of each query that share a term; a term repeated in a query counts as often."""
+    return top(scores.bm25(chunks, queries, STOP_WORDS, k, K1, B, DIGITS), k)
 
 
-def ngram_cosine(chunks: DataFrame, queries: DataFrame, n: int = 4) -> DataFrame:
-    """Cosine over raw n-gram counts, for pairs that share one."""
-    counts = lambda df, key: df.select(key, F.explode(ngrams(F.col("text"), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("c"))
-    d, q = counts(chunks, "id"), counts(queries, "qid")
-    norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias(name))
-    dots = d.withColumnRenamed("c", "dc").join(q.withColumnRenamed("c", "qc"), "g").groupBy("qid", "id").agg(F.sum(F.col("dc") * F.col("qc")).alias("dot"))
-    return dots.join(norm(d, "id", "dn"), "id").join(norm(q, "qid", "qn"), "qid").select("qid", "id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
+def ngram_cosine(chunks: DataFrame, queries: DataFrame, k: int, n: int = 4) -> DataFrame:
+    """qid, id, score, rank: the ``k`` best chunks of each query by the cosine over raw n-gram counts, of those that share one."""
+    return top(scores.cosine(chunks, queries, F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+", " "), n, k, DIGITS), k)
 
 
-def top(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def top(rows: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     """Rank from 1 by score, the smaller id first on ties."""
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", digits)), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(rankings: list[DataFrame], k: int | None = None) -> DataFrame:
@@ -74,7 +56,7 @@ def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> D
 def ablation(chunks: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 30) -> DataFrame:
     """configuration, qid, id, score, rank: the search with either stage alone, both fused, and both fused and reranked."""
     n = max(candidates, k)
-    words, grams = top(bm25(chunks, queries), n), top(ngram_cosine(chunks, queries), n)
+    words, grams = bm25(chunks, queries, n), ngram_cosine(chunks, queries, n)
     both = fuse([words, grams])
     found = {"bm25 only": top(fuse([words]), k), "vectors only": top(fuse([grams]), k), "hybrid, no rerank": top(both.drop("rank"), k), "hybrid + rerank": rerank(both, chunks, queries, k)}
     out = None

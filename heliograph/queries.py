@@ -189,14 +189,14 @@ def _texts(spark, sf_dir):
 
 def bm25_search(spark, sf_dir):
     chunks, queries_ = _texts(spark, sf_dir)
-    return retrieval.top(retrieval.bm25(chunks, queries_), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.bm25(chunks, queries_, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def hybrid_search(spark, sf_dir):
     """BM25 and n-gram rankings of the conversations for the benchmark items, fused and reranked."""
     chunks = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     queries_ = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
-    rankings = [retrieval.top(retrieval.bm25(chunks, queries_), 30), retrieval.top(retrieval.ngram_cosine(chunks, queries_), 30)]
+    rankings = [retrieval.bm25(chunks, queries_, 30), retrieval.ngram_cosine(chunks, queries_, 30)]
     return retrieval.rerank(retrieval.fuse(rankings), chunks, queries_, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -290,7 +290,7 @@ def numeric_grounding(spark, sf_dir):
 def retrieval_quality(spark, sf_dir):
     """BM25 against the documents that hold an item's first eight words in a row, whether it found them or not."""
     chunks, queries_ = _texts(spark, sf_dir)
-    hits = retrieval.top(retrieval.bm25(chunks, queries_), 10).select("qid", "id", "rank")
+    hits = retrieval.bm25(chunks, queries_, 10).select("qid", "id", "rank")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     phrase = queries_.select("qid", words.alias("w")).where("size(w) >= 8").select("qid", F.array_join(F.slice("w", 1, 8), " ").alias("phrase"))
     held = chunks.select("id", words.alias("w")).where("size(w) >= 8").select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("phrase"))
