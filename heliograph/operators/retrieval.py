@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> D
 def ablation(chunks: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 30) -> DataFrame:
     """configuration, qid, id, score, rank: the search with either stage alone, both fused, and both fused and reranked."""
     n = max(candidates, k)
-    words, grams = bm25(chunks, queries, n), ngram_cosine(chunks, queries, n)
+    # n rows a query each, read by three configurations
+    words, grams = (r.persist(StorageLevel.MEMORY_AND_DISK) for r in (bm25(chunks, queries, n), ngram_cosine(chunks, queries, n)))
     both = fuse([words, grams])
     found = {"bm25 only": top(fuse([words]), k), "vectors only": top(fuse([grams]), k), "hybrid, no rerank": top(both.drop("rank"), k), "hybrid + rerank": rerank(both, chunks, queries, k)}
     out = None

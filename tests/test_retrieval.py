@@ -135,3 +135,21 @@ def test_long_text(spark):
 def test_no_questions(spark):
     _, _, left, right = tables(spark)
     assert retrieval.bm25(left, right.limit(0), 3).count() == retrieval.ngram_cosine(left, right.where("qid is null"), 3).count() == 0
+
+
+def test_ablation_ranks_once(spark):
+    """Four configurations in plain Python; both rankings are kept for the configurations that read them."""
+    chunks, asked, _, _ = tables(spark)
+    chunks, asked = [*{d: (d, t) for d, t in chunks if d}.values()], [*{q: (q, t) for q, t in asked if q}.values()]
+    found = retrieval.ablation(spark.createDataFrame(chunks, SCHEMA.format("id")), spark.createDataFrame(asked, SCHEMA.format("qid")), 3, 6)
+    first, second = best(bm25(chunks, asked), 6), best(cosine(chunks, asked), 6)
+    alone = lambda ranks: {x: 1 / (60 + r) for x, (r, _) in ranks.items()}
+    both = {x: alone(first).get(x, 0) + alone(second).get(x, 0) for x in first.keys() | second.keys()}
+    for name, wanted in (("bm25 only", alone(first)), ("vectors only", alone(second)), ("hybrid, no rerank", both)):
+        same(found.where(found.configuration == name), best(wanted, 3))
+    # of the fused ones, the reranked are the best by coverage, phrase and position
+    position, text, ask = best(both, 99), dict(chunks), dict(asked)
+    tokens = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if w not in retrieval.STOP_WORDS}
+    score = lambda q, d: (2 * len(tokens(ask[q]) & tokens(text[d])) / len(tokens(ask[q])) if tokens(ask[q]) else 0) + 1.5 * (ask[q].strip().lower() != "" and ask[q].strip().lower() in text[d].lower())
+    same(found.where(found.configuration == "hybrid + rerank"), best({x: score(*x) + 1 / r for x, (r, _) in position.items()}, 3))
+    assert found._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 6
