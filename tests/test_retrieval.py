@@ -153,3 +153,17 @@ def test_ablation_ranks_once(spark):
     score = lambda q, d: (2 * len(tokens(ask[q]) & tokens(text[d])) / len(tokens(ask[q])) if tokens(ask[q]) else 0) + 1.5 * (ask[q].strip().lower() != "" and ask[q].strip().lower() in text[d].lower())
     same(found.where(found.configuration == "hybrid + rerank"), best({x: score(*x) + 1 / r for x, (r, _) in position.items()}, 3))
     assert found._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 6
+
+
+def test_holding(spark):
+    """First words in a row, across blanks and signs, in any text of an id; not across texts, nor for shorter questions."""
+    chunks, asked, left, right = tables(spark)
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    for size in (1, 2, 3):
+        phrases = {(q, tuple(words(t)[:size])) for q, t in asked if len(words(t)) >= size}
+        runs = [(d, {tuple(words(t)[i : i + size]) for i in range(len(words(t)) - size + 1)}) for d, t in chunks]
+        got = [tuple(r) for r in scores.holding(left, right, size).collect()]
+        assert sorted(got, key=str) == sorted({(q, d) for q, p in phrases for d, r in runs if p in r}, key=str) and len(got) > 3
+    assert scores.holding(left, right, 40).count() == scores.holding(left.limit(0), right, 1).count() == scores.holding(left, right.limit(0), 1).count() == 0
+    plan = scores.holding(left, right, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
